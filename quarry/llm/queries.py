@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontamination
-from quarry.llm.common import read
+from quarry.llm import bpe, decontamination, jaccard_join, warc
+from quarry.llm.common import new_path, read
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(read(spark, sf_dir, "pages"), new_path(spark, "warc"))).drop("html")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontamination.SQL}
+    return {"op1_decontaminate": decontamination.SQL, "op4_warc": warc.SQL, "op9_jaccard_join": jaccard_join.SQL}
