@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE = 200_000
+PART = 8 << 20
 #: Pre-token pattern of byte-level BPE files (fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -122,7 +123,7 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
 
 
 def tokenized(documents: DataFrame, path: str, *columns: str) -> DataFrame:
-    """The columns, then ids (binary, little-endian unsigned 32-bit) and n_tokens, of each row's text."""
+    """The columns, then n_tokens and ids (array<int>) of each row's text."""
     spark = documents.sparkSession
     vocabulary = spark.sparkContext.broadcast(Vocabulary(path))
     docs = documents.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("__text"))
@@ -130,11 +131,20 @@ def tokenized(documents: DataFrame, path: str, *columns: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary.value)
         for batch in batches:
-            ids = [encoder.encode(t or "") for t in batch.column("__text").to_pylist()]
-            own = [batch.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*columns, "ids", "n_tokens"])
-
-    schema = documents.select(*(F.col(f"`{c}`") for c in columns)).schema.add("ids", "binary").add("n_tokens", "long")
+            texts, at = batch.column("__text").to_pylist(), 0
+            while at < len(texts):  # ids take more room than texts: cut what is given back at PART characters
+                end, size = at, 0
+                while end < len(texts) and (end == at or size < PART):
+                    size += len(texts[end] or "")
+                    end += 1
+                ids = [encoder.encode(t or "") for t in texts[at:end]]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, end - at) for i in range(len(columns))), pa.array(n), lists], names=[*columns, "n_tokens", "ids"])
+                at = end
+
+    schema = documents.select(*(F.col(f"`{c}`") for c in columns)).schema.add("n_tokens", "long").add("ids", "array<int>")
     return docs.mapInArrow(run, schema)
 
 
@@ -163,7 +173,7 @@ def decoded(tokens: DataFrame, path: str, *columns: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary.value)
         for batch in batches:
-            texts = [None if x is None else encoder.decode(x) for x in batch.column("__ids").to_pylist()]
+            texts = [None if x is None else encoder.decode(np.array(x, "<u4").tobytes()) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(texts, pa.string())], names=[*columns, "text"])
 
     own = [F.col(f"`{c}`") for c in columns]
