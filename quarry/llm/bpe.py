@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 CACHE = 200_000
 PART = 8 << 20
@@ -144,7 +145,7 @@ def tokenized(documents: DataFrame, path: str, *columns: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, end - at) for i in range(len(columns))), pa.array(n), lists], names=[*columns, "n_tokens", "ids"])
                 at = end
 
-    schema = documents.select(*(F.col(f"`{c}`") for c in columns)).schema.add("n_tokens", "long").add("ids", "array<int>")
+    schema = documents.select(*(F.col(f"`{c}`") for c in columns)).schema.add("n_tokens", LongType()).add("ids", ArrayType(IntegerType()))
     return docs.mapInArrow(run, schema)
 
 
@@ -177,4 +178,4 @@ def decoded(tokens: DataFrame, path: str, *columns: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(texts, pa.string())], names=[*columns, "text"])
 
     own = [F.col(f"`{c}`") for c in columns]
-    return tokens.select(*own, F.col("ids").alias("__ids")).mapInArrow(run, tokens.select(*own).schema.add("text", "string"))
+    return tokens.select(*own, F.col("ids").alias("__ids")).mapInArrow(run, tokens.select(*own).schema.add("text", StringType()))

@@ -89,10 +89,10 @@ def windows(documents: DataFrame, pivots: DataFrame) -> DataFrame:
     at = docs.select("row", "doc_id", "w", F.explode_outer(F.sequence(F.lit(-1), last)).alias("pos"))
     at = at.select("row", "doc_id", "w", "pos", F.when(F.col("pos") >= 0, _key("w", F.col("pos"))).alias("key"))
     hit = at.join(pivots, "key", "left").where((F.col("pos") < 0) | F.col("scales").isNotNull())
-    step = lambda s: F.shiftleft(F.lit(1), s)
+    step = lambda s: F.call_function("shiftleft", F.lit(1), s)
     starts = F.flatten(F.transform("scales", lambda s: F.transform(F.array(F.lit(1), F.lit(0)), lambda back: F.struct(s.alias("scale"), ((F.floor(F.col("pos") / step(s)) - back) * step(s)).cast("int").alias("start")))))
     each = hit.select("row", "doc_id", "w", F.explode_outer(F.filter(starts, lambda x: x["start"] >= 0)).alias("at"))
-    each = each.select("row", "doc_id", F.size("w").alias("n_words"), F.col("at.scale").alias("scale"), F.col("at.start").alias("start"), F.when(F.col("at").isNotNull(), F.slice("w", F.coalesce(F.col("at.start"), F.lit(0)) + 1, 2 * F.shiftleft(F.lit(1), F.coalesce(F.col("at.scale"), F.lit(0))) + SHINGLE - 1)).alias("w"))
+    each = each.select("row", "doc_id", F.size("w").alias("n_words"), F.col("at.scale").alias("scale"), F.col("at.start").alias("start"), F.when(F.col("at").isNotNull(), F.slice("w", F.coalesce(F.col("at.start"), F.lit(0)) + 1, 2 * step(F.coalesce(F.col("at.scale"), F.lit(0))) + SHINGLE - 1)).alias("w"))
     return each.dropDuplicates(["row", "scale", "start"])
 
 

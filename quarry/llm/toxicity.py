@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from quarry.llm import common
 
@@ -281,7 +282,7 @@ def scored(documents: DataFrame, model: Model, *columns: str) -> DataFrame:
             score = shared.value.scores(x)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*columns, "score", "predicted"])
 
-    return documents.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("__text")).mapInArrow(run, own.schema.add("score", "double").add("predicted", "int"))
+    return documents.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("__text")).mapInArrow(run, own.schema.add("score", DoubleType()).add("predicted", IntegerType()))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
