@@ -12,7 +12,8 @@ when 100 * |intersection| >= percent * |union|. The plan:
 3. Postings are dealt by shingle and streamed in order; a shingle of one class goes no further. In a run of three or
    more, each class is first paired with the most central one only (a star), so that a group of near copies costs as
    many checks as it has members. Pairs whose classes those links already connect are never made.
-4. Candidates are verified on whole sets (64-bit shingle hashes).
+4. Candidates must pass a bound from bitmaps of their sets (BITS parities: two sets differ in at least as many shingles
+   as their bitmaps do in bits), so only pairs that are nearly links have their whole sets (64-bit hashes) compared.
 
 Any order of shingles gives the same links; the sketch only makes it cheap. Defined cases: null and empty texts have
 size 0, link with nothing and are their own component; rows are documents, so repeated rows are copies of each other;
@@ -37,6 +38,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Counters of the frequency sketch, in PARTS pieces; its size does not depend on the input.
 BUCKETS, PARTS = 1 << 18, 16
+#: Parities that bound how many shingles two sets share.
+BITS = 1024
 #: Longest extension of a prefix, and the cost of verifying a candidate against that of a posting.
 MOST, VERIFY = 4, 20
 
@@ -55,27 +58,33 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """BITS parities: of the shingles that fall on a bit, whether they are odd in number."""
+    return np.packbits((np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _needed(n, percent: int):
     """Least number of shingles that a set of n shares with any partner."""
     return -(-percent * n // 100)
 
 
 def _sized(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, row, doc_id, n, f1, f2), then the task's share of the sketch as rows (part, counts)."""
+    """Rows (block, row, doc_id, n, f1, f2, bits), then the task's share of the sketch as rows (part, counts)."""
     counts = np.zeros(BUCKETS, np.int64)
-    schema = pa.schema([("block", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
-        sizes, prints, buckets = [], [], [np.zeros(0, np.int64)]
+        sizes, prints, bits, buckets = [], [], [], [np.zeros(0, np.int64)]
         for text in batch.column("text").to_pylist():
             s = shingles(text, k)
             sizes.append(len(s))
             prints.append(fingerprint(s))
+            bits.append(bitmap(s))
             buckets.append((s >> np.uint64(46)).astype(np.int64))
         counts += np.bincount(np.concatenate(buckets), minlength=BUCKETS)
-        cols = [batch.column(c) for c in ("block", "row", "doc_id")] + [pa.array(sizes, pa.int32()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
+        cols = [batch.column(c) for c in ("block", "row", "doc_id")] + [pa.array(sizes, pa.int32()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(bits, pa.binary())]
         none = pa.nulls(batch.num_rows)
         yield pa.RecordBatch.from_arrays([*cols, none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-    null = [pa.nulls(PARTS, f.type) for f in list(schema)[:6]]
+    null = [pa.nulls(PARTS, f.type) for f in list(schema)[:7]]
     blobs = [x.astype(np.int64).tobytes() for x in np.split(counts, PARTS)]
     yield pa.RecordBatch.from_arrays([*null, pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
@@ -246,11 +255,29 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.select(["a1", "a2", "b1", "b2"]).take(pa.array(keep, pa.int64()))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    x = sets.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("tokens").alias("y"))
-    both = pairs.join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
-    return both.mapInArrow(lambda it: _linked(it, percent), "a1 long, a2 long, b1 long, b2 long")
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that the bound from their bitmaps allows to link."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "m"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("x", "y"))
+        shared = (n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+        keep = 100 * shared >= percent * (n + m - shared)
+        yield batch.select(["a1", "a2", "b1", "b2"]).filter(pa.array(keep))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a1, a2, b1, b2) of classes that link: by bitmap first, then by whole set."""
+    side = lambda t, p, **c: t.select(F.col("f1").alias(f"{p}1"), F.col("f2").alias(f"{p}2"), *(F.col(v).alias(q) for q, v in c.items()))
+    both = pairs.join(side(classes, "a", x="bits", n="n"), ["a1", "a2"]).join(side(classes, "b", y="bits", m="n"), ["b1", "b2"])
+    near = common.written(both.select("a1", "a2", "b1", "b2", "x", "y", "n", "m").mapInArrow(lambda it: _near(it, percent), PAIRS), f"near-{name}")
+    ends = near.select(F.col("a1").alias("f1"), F.col("a2").alias("f2")).union(near.select("b1", "b2")).distinct()
+    path = by_block(classes.join(ends, ["f1", "f2"], "left_semi").select("key.block", "key.row"), f"wanted-{name}")
+    sets = common.written(docs.select("block", "row", "text").mapInArrow(lambda it: _sets(it, path, k), "f1 long, f2 long, tokens binary"), f"tokens-{name}")
+    whole = near.join(side(sets, "a", x="tokens"), ["a1", "a2"]).join(side(sets, "b", y="tokens"), ["b1", "b2"])
+    return common.written(whole.select("a1", "a2", "b1", "b2", "x", "y").mapInArrow(lambda it: _linked(it, percent), PAIRS), f"links-{name}")
+
+
+PAIRS = "a1 long, a2 long, b1 long, b2 long"
 
 
 def classes_and_links(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -259,9 +286,10 @@ def classes_and_links(documents: DataFrame, k: int = SHINGLE, percent: int = PER
     spark = documents.sparkSession
     partitions = common.shuffle_partitions(spark)
     docs = keyed(documents, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    first = common.written(docs.mapInArrow(lambda it: _sized(it, k), "block long, row long, doc_id long, n int, f1 long, f2 long, part int, counts binary"), "sets")
-    rows = first.where("part is null").drop("part", "counts")
-    classes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("block", "row")).alias("key"), F.first("n").alias("n"))
+    first = common.written(docs.mapInArrow(lambda it: _sized(it, k), "block long, row long, doc_id long, n int, f1 long, f2 long, bits binary, part int, counts binary"), "sets")
+    rows = first.where("part is null").drop("part", "counts", "bits")
+    members = first.where("part is null and n > 0").groupBy("f1", "f2")
+    classes = common.written(members.agg(F.min("doc_id").alias("rep"), F.min(F.struct("block", "row")).alias("key"), F.first("n").alias("n"), F.max("bits").alias("bits")), "classes")
     parts = first.where("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(_added, "part int, counts binary").collect()  # BUCKETS numbers in all
     counts = np.zeros(BUCKETS, np.int64)
     for r in parts:
@@ -272,19 +300,15 @@ def classes_and_links(documents: DataFrame, k: int = SHINGLE, percent: int = PER
     posted = posted.repartition(partitions, "token").sortWithinPartitions("token", "n", "f1", "f2")
     shared = common.written(posted.mapInArrow(lambda it: _shared(it, percent), "kind int, token long, f1 long, f2 long, n int, at int, g1 long, g2 long"), "shared")
     own = shared.where("kind = 0").select("token", "f1", "f2", "n", "at")
-    # Whole sets of the classes that share a token of their prefixes with another.
-    wanted = classes.join(own.select("f1", "f2").distinct(), ["f1", "f2"], "left_semi").select("key.block", "key.row")
-    path = by_block(wanted, "wanted")
-    sets = common.written(docs.select("block", "row", "text").mapInArrow(lambda it: _sets(it, path, k), "f1 long, f2 long, tokens binary"), "tokens")
     star = shared.where("kind = 1").select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("g1").alias("b1"), F.col("g2").alias("b2")).distinct()
-    links = common.written(_verified(star, sets, percent), "star")
+    links = _verified(star, docs, classes, k, percent, "star")
     linked = components(links.select(F.struct(F.col("a1").alias("f1"), F.col("a2").alias("f2")).alias("a"), F.struct(F.col("b1").alias("f1"), F.col("b2").alias("f2")).alias("b")))
     comp = linked.select(F.col("node.f1"), F.col("node.f2"), F.xxhash64("component.f1", "component.f2").alias("comp"))
     dealt = own.join(comp, ["f1", "f2"], "left").select("token", "f1", "f2", "n", "at", F.coalesce("comp", F.xxhash64("f1", "f2")).alias("comp"))
     dealt = dealt.repartition(partitions, "token").sortWithinPartitions("token", "n", "f1", "f2")
     crossed = dealt.mapInArrow(lambda it: _crossed(it, percent), "a1 long, a2 long, b1 long, b2 long, need int")
     crossed = crossed.groupBy("a1", "a2", "b1", "b2").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").drop("shared", "need")
-    return rows, classes, links.unionByName(common.written(_verified(crossed, sets, percent), "crossed"))
+    return rows, classes.drop("bits"), links.unionByName(_verified(crossed, docs, classes, k, percent, "crossed"))
 
 
 def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -312,7 +336,7 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     path = by_block(kept, "kept")
     schema = documents.schema
     names = documents.columns
-    docs = keyed(documents, *(F.col(f"`{c}`") for c in names))
+    docs = keyed(documents, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quarry.llm.aligned import _load
