@@ -2,7 +2,8 @@
 
 The lexicon is learned too, so it holds for any language that the labels cover: words, and beginnings of words, that are
 far more frequent in texts labelled toxic. Labelled rows fall into three parts by a hash of doc_id: one gives the
-lexicon (by distributed counts), one the trees and one the calibration, so no part judges what it has seen. The last two
+lexicon (by distributed counts), one the trees and one the calibration, so no part judges what it has seen; under FEW
+labelled rows would be too few for parts, and all serve for all three. The last two
 are a sample of at most TRAIN_ROWS rows, the first of LEXICON_ROWS; lexicon and model are of bounded size and broadcast.
 
 Features, all from the text alone: densities of lexicon words and their weights, how near a second-person pronoun stands
@@ -26,7 +27,7 @@ from pyspark.sql.types import DoubleType, IntegerType
 
 from quarry.llm import common
 
-TRAIN_ROWS, LEXICON_ROWS, LEXICON = 20_000, 20_000, 4096
+TRAIN_ROWS, LEXICON_ROWS, LEXICON, FEW = 20_000, 20_000, 4096, 2000
 #: A lexicon entry occurs in at least so many toxic texts, and is so much more frequent there (log).
 LEAST_TEXTS, LEAST_WEIGHT, STRONG = 3, 1.0, 3.0
 PREFIXES = (4, 5, 6)
@@ -224,7 +225,7 @@ def _texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels), "doc_id")  # labels: a bounded sample
 
 
-def learn_lexicon(documents: DataFrame, labels: DataFrame) -> dict[str, float]:
+def learn_lexicon(documents: DataFrame, labels: DataFrame, parts: tuple[int, ...] = (0,)) -> dict[str, float]:
     """Entries by weight: the log ratio of an entry's share of toxic texts to its share of others, above LEAST_WEIGHT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +235,7 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame) -> dict[str, float]:
                 found = sorted({e for w in words if w for e in entries(w)} | {""})
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([int(toxic > 0)] * len(found), pa.int32())], names=["entry", "toxic"])
 
-    some = _texts(documents, _labelled(labels, LEXICON_ROWS, (0,))).select("text", "toxic")
+    some = _texts(documents, _labelled(labels, LEXICON_ROWS, parts)).select("text", "toxic")
     counts = some.mapInArrow(run, "entry string, toxic int").groupBy("entry").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     counts = common.written(counts.where((F.col("bad") >= LEAST_TEXTS) | (F.col("entry") == "")), "lexicon")
     total = counts.where("entry = ''").first()
@@ -246,7 +247,8 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame) -> dict[str, float]:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    lexicon = learn_lexicon(documents, labels)
+    few = _labelled(labels, FEW, (0, 1, 2)).count() < FEW
+    lexicon = learn_lexicon(documents, labels, (0, 1, 2) if few else (0,))
     kept = documents.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,12 +257,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
             rows = [features.row(t or "").tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
-    some = _texts(documents, _labelled(labels, TRAIN_ROWS, (1, 2))).select("doc_id", "text", "toxic")
+    some = _texts(documents, _labelled(labels, TRAIN_ROWS, (0, 1, 2) if few else (1, 2))).select("doc_id", "text", "toxic")
     rows = some.mapInArrow(run, "doc_id long, toxic int, x array<double>").collect()  # TRAIN_ROWS times FEATURES numbers at most, but for repeated ids
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["x"]))
     part = np.array([part_of(r["doc_id"]) for r in rows])
     x, y = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([float(r["toxic"] > 0) for r in rows])
-    trees, check = part == 1, part == 2
+    trees, check = (part >= 0, part >= 0) if few else (part == 1, part == 2)
     if len(np.unique(y[trees])) < 2:
         return Model(lexicon, None, None)
     boosted = Boosted().fit(x[trees], y[trees])
