@@ -16,6 +16,8 @@ scored one by one, so repeated rows get equal scores. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -45,6 +47,9 @@ for _c in b"\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _CLASS[_c] = 5
 _CLASS[33] = 4
 
+_OPENS, _CLOSES = "\"#%&'()*+,-./:;<=>?[\\]^_`{|}~!", string.punctuation
+_LONG = re.compile(r"(.)\1\1").search
+
 
 def plain(token: str) -> tuple[str, bool]:
     """A token in lower case without what stands around its letters, and whether it was obfuscated inside."""
@@ -82,25 +87,30 @@ class Features:
 
     def _clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.rows: list[tuple[float, bool, bool, bool]] = []
-        self.table = np.zeros((0, 4))
+        self.table = np.zeros((CACHE // 4, 4))  # weight, second person, obfuscated, elongated
 
     def _add(self, token: str) -> int:
-        word, obfuscated = plain(token)
-        weight = max((self.lexicon.get(e, 0.0) for e in entries(word)), default=0.0) if word else 0.0
-        elongated = any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))  # noqa: B905
-        self.rows.append((weight, word in SECOND_PERSON, obfuscated, elongated))
-        i = self.ids[token] = len(self.rows) - 1
+        word, obfuscated = token.lower(), False
+        if not word.isalpha():
+            word = word.lstrip(_OPENS).rstrip(_CLOSES)
+            if word and not word.isalpha():
+                word, obfuscated = plain(token)
+        get = self.lexicon.get
+        i = self.ids[token] = len(self.ids)
+        if i == len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        weight = max(get(f"={word}", 0.0), *(get(word[:n], 0.0) for n in PREFIXES))
+        self.table[i] = weight, word in SECOND_PERSON, obfuscated, _LONG(word) is not None
         return i
 
     def row(self, text: str) -> np.ndarray:
         if len(self.ids) > CACHE:
             self._clear()
         tokens = text.split()
-        get, add = self.ids.get, self._add
-        ids = np.fromiter((i if (i := get(t)) is not None else add(t) for t in tokens), np.int64, len(tokens))
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate((self.table, np.array(self.rows[len(self.table) :], float)))
+        found = list(map(self.ids.get, tokens))
+        if None in found:
+            found = [self.ids[t] if t in self.ids else self._add(t) for t in tokens]
+        ids = np.array(found, np.int64)
         out = np.zeros(len(FEATURES))
         n = len(tokens)
         data = common.as_bytes(text)
