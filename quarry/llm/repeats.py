@@ -151,7 +151,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], s: Scheme, path: str, shards:
                 old = held.get(key)
                 if old is None:
                     group = int.from_bytes(key[:8], "little", signed=True) if hot else h
-                    held[key] = [group, piece, len(cut(q, a)) if not hot else 0, doc, q, doc]
+                    held[key] = [group, piece, 0 if hot else a - q, doc, q, doc]
                     size += len(piece) + 200
                 else:
                     if (doc, q) < (old[3], old[4]):

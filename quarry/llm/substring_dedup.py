@@ -59,12 +59,19 @@ def _located(blobs: list[bytes]) -> Iterator[tuple]:
     texts: dict[bytes, tuple[int, ...]] = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for members in groups.values():
-        if len(members) == 1 and pieces[members[0]][1] == pieces[members[0]][2]:
-            continue  # one document alone holds it
+        if len(members) == 1:
+            piece = members[0]
+            _, first, last = pieces[piece]
+            if first < last:  # else one document alone holds it
+                ids = texts[piece] = tuple([number.setdefault(w, len(number)) for w in piece.split(b" ")])
+                for o in range(len(ids) - WINDOW + 1):
+                    automaton.add_word(ids[o : o + WINDOW], first)
+            continue
         phrases: dict[tuple[int, ...], list[int]] = {}
+        own = {}
         for piece in members:
             _, first, last = pieces[piece]
-            ids = texts[piece] = tuple([number.setdefault(w, len(number)) for w in piece.split(b" ")])
+            ids = own[piece] = tuple([number.setdefault(w, len(number)) for w in piece.split(b" ")])
             for o in range(len(ids) - WINDOW + 1):
                 phrase = ids[o : o + WINDOW]
                 old = phrases.get(phrase)
@@ -72,9 +79,11 @@ def _located(blobs: list[bytes]) -> Iterator[tuple]:
                     phrases[phrase] = [first, last]
                 else:
                     old[0], old[1] = min(old[0], first), max(old[1], last)
-        for phrase, (first, last) in phrases.items():
-            if first < last:  # confirmed: at least two documents
-                automaton.add_word(phrase, first)
+        confirmed = [(phrase, first) for phrase, (first, last) in phrases.items() if first < last]  # at least two documents
+        for phrase, first in confirmed:
+            automaton.add_word(phrase, first)
+        if confirmed:  # else the gram recurs, but no window over it
+            texts |= own
     if not len(automaton):
         return
     automaton.make_automaton()
