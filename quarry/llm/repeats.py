@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +118,7 @@ def digest(piece: bytes) -> bytes:
 def _piece_rows(batches: Iterator[pa.RecordBatch], s: Scheme, path: str, shards: int) -> Iterator[pa.RecordBatch]:
     held: dict[bytes, list] = {}
     size = 0
+    squeeze = zstandard.ZstdCompressor(level=1).compress
 
     def sent() -> pa.RecordBatch:
         by: dict[int, list] = {}
@@ -124,7 +126,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], s: Scheme, path: str, shards:
             by.setdefault(piece[0] % shards, []).append(piece)
         n = len(by)
         null = [pa.nulls(n, f.type) for f in list(_SCHEMA)[3:]]
-        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(list(by), pa.int32()), pa.array([s.pack(x) for x in by.values()], pa.binary()), *null], schema=_SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(list(by), pa.int32()), pa.array([squeeze(s.pack(x)) for x in by.values()], pa.binary()), *null], schema=_SCHEMA)
 
     def met(batch_rows: list[tuple]) -> pa.RecordBatch:
         n = len(batch_rows)

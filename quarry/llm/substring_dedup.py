@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from quarry.llm import common, repeats
@@ -100,6 +101,7 @@ def by_shard(batches: Iterator[pa.RecordBatch], resolve) -> Iterator[pa.RecordBa
     """Applies resolve(blobs) to the blobs of each shard in turn; rows come sorted by shard."""
     names = ["p1", "p2", "o1", "o2", "doc", "start"]
     shard, blobs = None, []
+    whole = zstandard.ZstdDecompressor().decompress
 
     def rows() -> Iterator[pa.RecordBatch]:
         found = list(resolve(blobs)) if blobs else []
@@ -111,7 +113,7 @@ def by_shard(batches: Iterator[pa.RecordBatch], resolve) -> Iterator[pa.RecordBa
             if now != shard:
                 yield from rows()
                 shard, blobs = now, []
-            blobs.append(blob)
+            blobs.append(whole(blob))
     yield from rows()
 
 
