@@ -1,7 +1,8 @@
 """Secret scans, native: candidates by pattern, then a random forest that removes false positives.
 
 A text is cut at white space. A token is a candidate when it, or the value after its key, has the form of a known
-credential, is a long mix of letters and digits, or follows a word such as password or token. Features of a candidate:
+credential, is a long mix of letters and digits, or follows a word such as password or token; and so is each value, known
+form and long mix inside a token (compact JSON, code, addresses), which its key or what stands before it names. Features of a candidate:
 length, changes between character classes, shares of digits, capitals and hexadecimal digits, distinct characters,
 entropy, how much of it words of a dictionary cover, the path it stands in, and the words beside it. The forest is
 trained from labelled findings (columns token, before1, before2, after, path, label); without any, from
@@ -13,6 +14,7 @@ and null ids give findings of their own. An empty table gives none. Extra column
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -39,6 +41,11 @@ DICTIONARY = "the and for you your that with this from have not are was but all
 KNOWN = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|[sr]k_(?:live|test)_[0-9A-Za-z]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|-----BEGIN"
 #: A token: what opens it, perhaps a key and = or :, what opens the value, the value, what closes it.
 TOKEN = r"""^[^A-Za-z0-9_-]*(?:([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?(?:=|:|=>|:=)["']?)?([A-Za-z0-9_+/-][A-Za-z0-9+/=_.~!@$%^*-]*?[A-Za-z0-9=_-])[^A-Za-z0-9]*$"""
+#: Anywhere in a token: perhaps a key and = or :, and the value; and a run that may be a long mix.
+PART = r"""(?:([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?(?:=>|:=|=|:)["']?)?([A-Za-z0-9_+/-](?:[A-Za-z0-9+/=_.~!@$%^*-]*[A-Za-z0-9=_-])?)"""
+#: A key and its value in quotes, which may hold any character but those.
+QUOTED = r"""([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?(?:=>|:=|=|:)(["'])([^"']*[^A-Za-z0-9+/=_.~!@$%^*"'-][^"']*)\2"""
+RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 MIXED = r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/=_-]{16,}$"
 
 COUNTS = ["length", "changes", "digits", "capitals", "hexadecimal", "distinct", "entropy", "covered", "vowels", "separators", "known", "secret_word", "other_word", "secret_path", "runs"]
@@ -62,13 +69,38 @@ def _parsed(tokens: DataFrame) -> DataFrame:
     return t.withColumn("named", named).withColumn("beside", F.concat_ws(" ", "named", _word(F.col("before1")), _word(F.col("before2")), _word(F.col("after"))))
 
 
-def _is_candidate() -> Column:
-    value, named = F.col("value"), F.col("named")
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _forms(parsed: DataFrame) -> DataFrame:
+    """parsed (of `_parsed`) with a row for each candidate of a token: the token's value, its parts, known forms and long mixes.
+
+    A value counts once a token. A part without a key is named by the part before it, the first by what stands before the token."""
+    token, first = F.col("token"), F.struct("key", "value", "named")
+    found = lambda pattern, group: F.regexp_extract_all(token, F.lit(pattern), F.lit(group))
+    form = lambda key, value, named: F.struct(key.alias("key"), value.alias("value"), named.alias("named"))
+    parts = _let(
+        F.arrays_zip(found(PART, 1).alias("key"), found(PART, 2).alias("value")),
+        lambda a: F.transform(a, lambda x, i: form(x["key"], x["value"], F.when(x["key"] != "", F.lower(x["key"])).when(i > 0, _word(F.get(a, i - 1)["value"])).otherwise(F.col("named")))),
+    )
+    quoted = F.transform(F.arrays_zip(found(QUOTED, 1).alias("key"), found(QUOTED, 3).alias("value")), lambda x: form(x["key"], x["value"], F.lower(x["key"])))
+    inner = F.concat(found(f"({KNOWN})", 1), found(f"({RUN})", 1))
+    among = lambda a: F.transform(inner, lambda v: _let(F.get(F.filter(a, lambda x: F.contains(x["value"], v)), F.lit(0)), lambda x: form(F.coalesce(x["key"], F.lit("")), v, F.coalesce(x["named"], F.col("named")))))
+    every = F.filter(_let(parts, lambda a: F.concat(F.array(first), quoted, a, among(a))), lambda x: _is_candidate(x["value"], x["named"]))
+    once = F.aggregate(every, F.filter(F.array(first), lambda x: F.lit(False)), lambda a, x: F.when(F.exists(a, lambda y: y["value"] == x["value"]), a).otherwise(F.concat(a, F.array(x))))
+    out = parsed.withColumn("form", F.explode(once))
+    beside = F.concat_ws(" ", "form.named", _word(F.col("before1")), _word(F.col("before2")), _word(F.col("after")))
+    return out.select(*(c for c in parsed.columns if c not in ("key", "value", "named", "beside")), "form.key", "form.value", "form.named", beside.alias("beside"))
+
+
+def _is_candidate(value: Column, named: Column) -> Column:
     return (F.octet_length(value) <= 4096) & (value.rlike(f"^(?:{KNOWN})") | value.rlike(MIXED) | ((F.octet_length(value) >= 8) & named.rlike(_any(SECRET_WORDS)) & value.rlike("[0-9]|[a-z][A-Z]")))
 
 
 def candidates(documents: DataFrame, path: str | None = None, *columns: str) -> DataFrame:
-    """(columns, word, token, before1, before2, after, path, key, value, named, beside): one row a candidate; word counts from 0.
+    """(columns, word, token, before1, before2, after, path, key, value, named, beside): one row a candidate, several a word perhaps; word counts from 0.
 
     A cheap length test comes first, so most tokens cost a comparison; neighbours are looked up in the text's own array."""
     w = F.split(text_of("text"), r"[\s]+")
@@ -76,7 +108,7 @@ def candidates(documents: DataFrame, path: str | None = None, *columns: str) ->
     at = docs.select(*columns, "path", "w", F.posexplode_outer("w").alias("word", "token"))
     at = at.where((F.octet_length("token") >= 8) & F.col("token").rlike(r"[0-9]|[a-z][A-Z]|[=:]."))
     at = at.select(*columns, "word", "token", F.get("w", F.col("word") - 1).alias("before1"), F.get("w", F.col("word") - 2).alias("before2"), F.get("w", F.col("word") + 1).alias("after"), "path")
-    return _parsed(at).where(_is_candidate())
+    return _forms(_parsed(at))
 
 
 def _share(pattern: str) -> Column:
