@@ -10,6 +10,7 @@ trained from labelled findings (columns token, before1, before2, after, path, la
 
 Defined cases: null and empty texts have no candidates; a null path counts as none; rows are documents, so repeated rows
 and null ids give findings of their own. An empty table gives none. Extra columns are ignored, and kept by `masked`.
+Values have no greatest length.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ TREES, DEPTH, SEED = 40, 8, 11
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 EXAMPLES = 6000
+#: Characters of a long value that are looked at in one go.
+PIECE = 4096
 
 #: Words that name a secret, and words that name other long strings (fixed values).
 SECRET_WORDS = "password passwd passphrase pwd secret token apikey api_key api-key access_key auth authorization bearer credential credentials private_key client_secret key"
@@ -42,7 +45,9 @@ KNOWN = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,
 #: A token: what opens it, perhaps a key and = or :, what opens the value, the value, what closes it.
 TOKEN = r"""^[^A-Za-z0-9_-]*(?:([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?(?:=|:|=>|:=)["']?)?([A-Za-z0-9_+/-][A-Za-z0-9+/=_.~!@$%^*-]*?[A-Za-z0-9=_-])[^A-Za-z0-9]*$"""
 #: Anywhere in a token: perhaps a key and = or :, and the value; and a run that may be a long mix.
-PART = r"""(?:([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?(?:=>|:=|=|:)["']?)?([A-Za-z0-9_+/-](?:[A-Za-z0-9+/=_.~!@$%^*-]*[A-Za-z0-9=_-])?)"""
+PART = r"""(?:([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?(?:=>|:=|=|:)["']?)?([A-Za-z0-9_+/-][A-Za-z0-9+/=_.~!@$%^*-]*)"""
+#: What no value ends with.
+CLOSING = "+/.~!@$%^*"
 #: A key and its value in quotes, which may hold any character but those.
 QUOTED = r"""([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?(?:=>|:=|=|:)(["'])([^"']*[^A-Za-z0-9+/=_.~!@$%^*"'-][^"']*)\2"""
 RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
@@ -83,7 +88,7 @@ def _forms(parsed: DataFrame) -> DataFrame:
     form = lambda key, value, named: F.struct(key.alias("key"), value.alias("value"), named.alias("named"))
     parts = _let(
         F.arrays_zip(found(PART, 1).alias("key"), found(PART, 2).alias("value")),
-        lambda a: F.transform(a, lambda x, i: form(x["key"], x["value"], F.when(x["key"] != "", F.lower(x["key"])).when(i > 0, _word(F.get(a, i - 1)["value"])).otherwise(F.col("named")))),
+        lambda a: F.transform(a, lambda x, i: form(x["key"], F.rtrim(x["value"], F.lit(CLOSING)), F.when(x["key"] != "", F.lower(x["key"])).when(i > 0, _word(F.get(a, i - 1)["value"])).otherwise(F.col("named")))),
     )
     quoted = F.transform(F.arrays_zip(found(QUOTED, 1).alias("key"), found(QUOTED, 3).alias("value")), lambda x: form(x["key"], x["value"], F.lower(x["key"])))
     inner = F.concat(found(f"({KNOWN})", 1), found(f"({RUN})", 1))
@@ -96,7 +101,7 @@ def _forms(parsed: DataFrame) -> DataFrame:
 
 
 def _is_candidate(value: Column, named: Column) -> Column:
-    return (F.octet_length(value) <= 4096) & (value.rlike(f"^(?:{KNOWN})") | value.rlike(MIXED) | ((F.octet_length(value) >= 8) & named.rlike(_any(SECRET_WORDS)) & value.rlike("[0-9]|[a-z][A-Z]")))
+    return value.rlike(f"^(?:{KNOWN})") | value.rlike(MIXED) | ((F.octet_length(value) >= 8) & named.rlike(_any(SECRET_WORDS)) & value.rlike("[0-9]|[a-z][A-Z]"))
 
 
 def candidates(documents: DataFrame, path: str | None = None, *columns: str) -> DataFrame:
@@ -115,19 +120,25 @@ def _share(pattern: str) -> Column:
     return F.length(F.regexp_replace("value", f"[^{pattern}]", "")) / F.col("length")
 
 
+def _distinct(v: Column) -> Column:
+    """The distinct characters of v in order of first place. Long values go by pieces, so no array has an entry for each character."""
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1)), F.lit(PIECE)), lambda i: F.array_join(F.array_distinct(F.split(F.substring(v, i, F.lit(PIECE)), "")), ""))
+    return F.array_distinct(F.split(F.when(F.length(v) > PIECE, F.array_join(pieces, "")).otherwise(v), ""))
+
+
 def with_features(found: DataFrame) -> DataFrame:
     """found (of `candidates`) with the columns COUNTS, all doubles."""
     v = F.col("value")
     f = found.withColumn("length", F.length(v).cast("double"))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "B"), "[0-9]+", "0"), "[^aB0]+", "_")
-    chars = F.split(v, "")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.col("length"))
+    chars = _distinct(v)
+    counts = F.transform(chars, lambda c: (F.length(v) - F.length(F.replace(v, c, F.lit("")))) / F.col("length"))
     entropy = -F.aggregate(counts, F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.log2(p)).otherwise(0.0))
     cover = F.length(F.array_join(F.regexp_extract_all(F.lower(v), F.lit("(" + "|".join(sorted(DICTIONARY.split(), key=len, reverse=True)) + ")"), F.lit(1)), "")) / F.col("length")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     made = {
         "changes": (F.length(shape) - 1) / F.col("length"), "digits": _share("0-9"), "capitals": _share("A-Z"), "hexadecimal": _share("0-9a-f"),
-        "distinct": F.size(F.array_distinct(chars)) / F.col("length"), "entropy": entropy, "covered": cover, "vowels": _share("aeiouAEIOU"),
+        "distinct": F.size(chars) / F.col("length"), "entropy": entropy, "covered": cover, "vowels": _share("aeiouAEIOU"),
         "separators": _share("_./~-"), "known": flag(v.rlike(f"^(?:{KNOWN})")), "secret_word": flag(F.col("named").rlike(_any(SECRET_WORDS))),
         "other_word": flag(F.exists(F.split("beside", " "), lambda x: x.rlike(_any(OTHER_WORDS)))),
         "secret_path": F.when(F.lower("path").rlike("test|example|sample|doc|fixture|mock"), -1.0).when(F.lower("path").rlike(r"\.env|config|secret|credential|deploy"), 1.0).otherwise(0.0),

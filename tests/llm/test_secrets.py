@@ -66,3 +66,13 @@ def test_secrets_inside_a_token(spark, model):
     texts = [r["text"] for r in op.masked(spark.createDataFrame(rows, "doc_id long, text string"), model).orderBy("doc_id").collect()]
     assert texts[1] == 'some text {"id":7,"key":"[SECRET]","x":"a"} more' and texts[9] == 'some text [["[SECRET]"],["[SECRET]"]] more'
     assert not any(s in t for t in texts for s in (AKIA, GHP, "hunter2Xk9", "k9#hu"))
+
+
+def test_long_values(spark, model):
+    long = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(200)).replace("7", "Xq").replace("3", "Zw")
+    rows = [(0, f"token = {long} end"), (1, '{"a":"' + "lorem," * 2000 + f'","key":"{AKIA}","b":"' + "ipsum," * 50_000 + '"}'), (2, f"password={long}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["value_sha256"]) for r in op.secrets(d, model).collect() if r["is_secret"]}
+    assert found >= {(i, hashlib.sha256(v.encode()).hexdigest()) for i, v in ((0, long), (1, AKIA), (2, long))}
+    texts = [r["text"] for r in op.masked(d, model).orderBy("doc_id").collect()]
+    assert texts[0] == "token = [SECRET] end" and AKIA not in texts[1] and texts[2] == "password=[SECRET]"
