@@ -10,7 +10,8 @@ trained from labelled findings (columns token, before1, before2, after, path, la
 
 Defined cases: null and empty texts have no candidates; a null path counts as none; rows are documents, so repeated rows
 and null ids give findings of their own. An empty table gives none. Extra columns are ignored, and kept by `masked`.
-Values have no greatest length.
+Values have no greatest length. A private key is one candidate from its header to its end, without an end its header is;
+headers of certificates and public keys are none.
 """
 
 from __future__ import annotations
@@ -44,6 +45,9 @@ DICTIONARY = "the and for you your that with this from have not are was but all
 KNOWN = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|[sr]k_(?:live|test)_[0-9A-Za-z]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|-----BEGIN"
 #: A token: what opens it, perhaps a key and = or :, what opens the value, the value, what closes it.
 TOKEN = r"""^[^A-Za-z0-9_-]*(?:([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?(?:=|:|=>|:=)["']?)?([A-Za-z0-9_+/-][A-Za-z0-9+/=_.~!@$%^*-]*?[A-Za-z0-9=_-])[^A-Za-z0-9]*$"""
+#: A private key in a text: from its header to its end, or the header alone where no end follows before the next header.
+PEM_START = r"(?=-----BEGIN )"
+PEM = r"^(-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*(?:-----(?:[\s\S]*?-----END [A-Z0-9 ]*-----)?)?)"
 #: Anywhere in a token: perhaps a key and = or :, and the value; and a run that may be a long mix.
 PART = r"""(?:([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?(?:=>|:=|=|:)["']?)?([A-Za-z0-9_+/-][A-Za-z0-9+/=_.~!@$%^*-]*)"""
 #: What no value ends with.
@@ -91,15 +95,30 @@ def _forms(parsed: DataFrame) -> DataFrame:
         lambda a: F.transform(a, lambda x, i: form(x["key"], F.rtrim(x["value"], F.lit(CLOSING)), F.when(x["key"] != "", F.lower(x["key"])).when(i > 0, _word(F.get(a, i - 1)["value"])).otherwise(F.col("named")))),
     )
     quoted = F.transform(F.arrays_zip(found(QUOTED, 1).alias("key"), found(QUOTED, 3).alias("value")), lambda x: form(x["key"], x["value"], F.lower(x["key"])))
-    inner = F.concat(found(f"({KNOWN})", 1), found(f"({RUN})", 1))
+    # Headers of keys are found by `_pem`, in the text.
+    inner = F.concat(F.filter(found(f"({KNOWN})", 1), lambda v: ~v.startswith("-----")), found(f"({RUN})", 1))
     among = lambda a: F.transform(inner, lambda v: _let(F.get(F.filter(a, lambda x: F.contains(x["value"], v)), F.lit(0)), lambda x: form(F.coalesce(x["key"], F.lit("")), v, F.coalesce(x["named"], F.col("named")))))
-    every = F.filter(_let(parts, lambda a: F.concat(F.array(first), quoted, a, among(a))), lambda x: _is_candidate(x["value"], x["named"]))
+    every = F.filter(_let(parts, lambda a: F.concat(F.array(first), quoted, a, among(a))), lambda x: (x["value"] != "-----BEGIN") & _is_candidate(x["value"], x["named"]))
     once = F.aggregate(every, F.filter(F.array(first), lambda x: F.lit(False)), lambda a, x: F.when(F.exists(a, lambda y: y["value"] == x["value"]), a).otherwise(F.concat(a, F.array(x))))
     out = parsed.withColumn("form", F.explode(once))
     beside = F.concat_ws(" ", "form.named", _word(F.col("before1")), _word(F.col("before2")), _word(F.col("after")))
     return out.select(*(c for c in parsed.columns if c not in ("key", "value", "named", "beside")), "form.key", "form.value", "form.named", beside.alias("beside"))
 
 
+def _pem(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs (columns, path, t) to candidates: private keys, each from its header to its end. word is where the header begins."""
+    parts = F.split("t", PEM_START)
+    before = lambda i: F.array_join(F.slice(F.col("parts"), F.lit(1), i), "")
+    blocks = F.transform(F.col("parts"), lambda p, i: F.struct(i.alias("i"), F.regexp_extract(p, PEM, 1).alias("value")))
+    d = docs.where(F.contains("t", F.lit("-----BEGIN "))).select(*columns, "path", parts.alias("parts"))
+    d = d.select(*columns, "path", "parts", F.explode(F.filter(blocks, lambda b: b["value"] != "")).alias("b"))
+    words = F.split(before(F.col("b.i")), r"[\s]+")
+    word = lambda k: F.get(words, F.size(words) - k)
+    none = F.lit("")
+    found = d.select(*columns, (F.size(words) - 1).alias("word"), F.col("b.value").alias("token"), word(2).alias("before1"), word(3).alias("before2"), F.lit(None).cast("string").alias("after"), "path", none.alias("key"), F.col("b.value").alias("value"), F.lit("private_key").alias("named"))
+    return found.withColumn("beside", F.concat_ws(" ", "named", _word(F.col("before1")), _word(F.col("before2")), none))
+
+
 def _is_candidate(value: Column, named: Column) -> Column:
     return value.rlike(f"^(?:{KNOWN})") | value.rlike(MIXED) | ((F.octet_length(value) >= 8) & named.rlike(_any(SECRET_WORDS)) & value.rlike("[0-9]|[a-z][A-Z]"))
 
@@ -109,11 +128,11 @@ def candidates(documents: DataFrame, path: str | None = None, *columns: str) ->
 
     A cheap length test comes first, so most tokens cost a comparison; neighbours are looked up in the text's own array."""
     w = F.split(text_of("text"), r"[\s]+")
-    docs = documents.select(*columns, (F.col(path) if path else F.lit(None).cast("string")).alias("path"), w.alias("w"))
+    docs = documents.select(*columns, (F.col(path) if path else F.lit(None).cast("string")).alias("path"), text_of("text").alias("t"), w.alias("w"))
     at = docs.select(*columns, "path", "w", F.posexplode_outer("w").alias("word", "token"))
-    at = at.where((F.octet_length("token") >= 8) & F.col("token").rlike(r"[0-9]|[a-z][A-Z]|[=:]."))
+    at = at.where((F.octet_length("token") >= 8) & F.col("token").rlike(rf"[0-9]|[a-z][A-Z]|[=:].|{KNOWN}"))
     at = at.select(*columns, "word", "token", F.get("w", F.col("word") - 1).alias("before1"), F.get("w", F.col("word") - 2).alias("before2"), F.get("w", F.col("word") + 1).alias("after"), "path")
-    return _forms(_parsed(at))
+    return _forms(_parsed(at)).unionByName(_pem(docs.drop("w"), *columns))
 
 
 def _share(pattern: str) -> Column:
