@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Broadcast sides stay below this many rows; beyond it the operators shuffle instead.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of an Arrow batch that Python gets at once, unless the session says otherwise. One row can be longer.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that a worker's memory does not follow the length of texts; a lower bound stays."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if now > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the file system that Spark takes it to be in, so that Python looks in the same place."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return out.replace("file:/", "file:///", 1) if out.startswith("file:/") and not out.startswith("file://") else out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests, one machine), a new temporary one."""
-    found = spark.sparkContext._conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, qualified. Where it is unset, a temporary one if all runs on one machine,
+    else an error: a folder of the driver's own would not be seen by the executors."""
+    context = spark.sparkContext
+    found = context._conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+        found = context.getCheckpointDir()
+    return qualified(spark, found).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -60,42 +81,32 @@ def record_batches(batch) -> Iterator[tuple]:
     yield from zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
 
 
-# Hashes of words, by numpy over a text's bytes. A polynomial in an odd base modulo 2**64: the hash of any slice follows
-# from two prefix sums, so words, shingles and k-grams of a text cost a few passes.
-BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i in 0..n."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        out = []
-        for base in (BASE, _INVERSE):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            out.append(p)
-        _powers[:] = out
-    return _powers[0], _powers[1]
+# Hashes by numpy over the bytes of a whole batch of texts.
+_ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads a 64-bit value over all bits; one-to-one."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice data[starts[i]:ends[i]] of bytes; equal slices have equal hashes."""
-    power, inverse = _powers_to(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a column of texts: text i is bytes[offsets[i]:offsets[i + 1]]; null counts as empty."""
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string())
+    column = column.fill_null("") if column.null_count else column
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    bytes_ = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return bytes_[at[0] : at[-1]], at - at[0]
 
 
 _SPACE = np.zeros(256, bool)
@@ -104,13 +115,41 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ in UTF-8 bytes."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = np.concatenate(([False], ~_SPACE[data], [False]))
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    return edge[::2], edge[1::2]
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): the words [^\\x20\\x09-\\x0D]+ of all texts of a buffer, and the number of each text's first word,
+    with the number of all words at the end. A word never spans two texts."""
+    inside = ~_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= _SPACE[data[:-1]]
+    text = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[text] = inside[text]
+    ends = inside
+    ends[:-1] &= ~inside[1:] | begins[1:]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each slice data[starts[i]:ends[i]]: eight bytes at a time, mixed after each, so that it has no
+    algebraic structure which some words would share; long slices by BLAKE2b. Seeds give independent hashes."""
+    size = (ends - starts).astype(np.int64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    out = mix(size.astype(np.uint64) * _ODD + np.uint64(int(_ODD2) * (2 * seed + 1) % 2**64))
+    at = np.flatnonzero(size <= LONG_WORD) if len(size) and size.max() > LONG_WORD else np.arange(len(size))
+    done = 0
+    while len(at):
+        left = size[at] - done
+        lane = lanes[starts[at] + done]
+        short = left < 8
+        if short.any():
+            lane = np.where(short, lane & ((np.uint64(1) << (np.uint64(8) * left.clip(0, 7).astype(np.uint64))) - np.uint64(1)), lane)
+        out[at] = mix((out[at] ^ lane) * _ODD + _ODD2)
+        at = at[left > 8]
+        done += 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([seed])).digest(), "little")
+    return out
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -122,11 +161,23 @@ def as_bytes(text: str | None) -> np.ndarray:
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each k consecutive word hashes."""
+    """A 64-bit hash of each k consecutive word hashes; every word is mixed in by itself."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, int(_ODD2) * k % 2**64, np.uint64)
     for i in range(k):
-        out = out * np.uint64(BASE) + words[i : i + n]
+        out = mix((out ^ words[i : i + n]) * _ODD + _ODD2)
+    return out
+
+
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each k consecutive bytes; k is a power of two."""
+    out, span = mix(data.astype(np.uint64) + _ODD), 1
+    while span < k:
+        if len(out) <= span:
+            return np.zeros(0, np.uint64)
+        out = out[:-span] * _ODD + out[span:]
+        out ^= out >> np.uint64(29)
+        span *= 2
     return mix(out)

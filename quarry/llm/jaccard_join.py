@@ -1,23 +1,26 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes, and the components of its links.
 
-Each text is the set of its distinct shingles of 3 words (lower-cased in A-Z; words [^\\x20\\x09-\\x0D]+). Two sets link
-when 100 * |intersection| >= percent * |union|. The plan:
+Each text is the set of its distinct shingles of 3 words (lower-cased in A-Z; words [^\\x20\\x09-\\x0D]+), as 64-bit hashes
+without algebraic structure (`common.word_hashes`). Two sets link when 100 * |intersection| >= percent * |union|. The plan:
 
-1. One pass gives every row its set's size and 128-bit fingerprint, and a fixed-size sketch of how many rows hold each
-   shingle. Rows with equal sets form one class, whose smallest row stands for it, so copies never meet in pairs.
+1. One pass gives every row its set's size, a 128-bit fingerprint and a bitmap of parities, and a fixed-size sketch of how
+   many rows hold each shingle. Rows with equal sets form one class; one row stands for it, so copies never meet.
 2. Shingles are ordered from rare to frequent by the sketch. A set of n needs at least ceil(percent * n / 100) of its
    shingles in common with a partner, so two linking sets share at least l shingles among the first
    n - ceil(percent * n / 100) + l of either. Each set chooses its l from the estimated cost of its candidates; a pair
    is a candidate when it shares min(l, l') shingles within both sets' prefixes of that length.
 3. Postings are dealt by shingle and streamed in order; a shingle of one class goes no further. In a run of three or
-   more, each class is first paired with the most central one only (a star), so that a group of near copies costs as
-   many checks as it has members. Pairs whose classes those links already connect are never made.
-4. Candidates must pass a bound from bitmaps of their sets (BITS parities: two sets differ in at least as many shingles
-   as their bitmaps do in bits), so only pairs that are nearly links have their whole sets (64-bit hashes) compared.
+   more, each class is first paired with one centre only (a star), so that a group of near copies costs as many checks as
+   it has members. Pairs whose classes those links already connect are never made.
+4. Pairs of different components must pass a bound from bitmaps before they leave the task that meets them: two sets
+   differ in at least as many shingles as their bitmaps do in bits. Only pairs that are nearly links go on, and have their
+   whole sets compared. A run of more than LONG classes is dealt in cells, each of LONG classes against all that come
+   after them and fit in size, so no task holds more than LONG classes of a shingle or pairs all of a long run.
 
 Any order of shingles gives the same links; the sketch only makes it cheap. Defined cases: null and empty texts have
 size 0, link with nothing and are their own component; rows are documents, so repeated rows are copies of each other;
-a null doc_id takes part, and its component is the smallest non-null doc_id in reach, or null. Extra columns are ignored.
+a null doc_id takes part, and its component is the smallest non-null doc_id in reach, or null. An empty table gives none.
+A text of any length is one set, in memory that follows it. Extra columns are ignored, and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -31,26 +34,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common
-from quarry.llm.aligned import by_block, keyed, with_findings
+from quarry.llm.aligned import by_block, is_scan, keyed, located
 from quarry.llm.components import components
 
 SHINGLE = 3
 PERCENT = 90
 #: Counters of the frequency sketch, in PARTS pieces; its size does not depend on the input.
 BUCKETS, PARTS = 1 << 18, 16
-#: Parities that bound how many shingles two sets share.
-BITS = 1024
+#: Parities that every set has; and most of those that a large set has besides.
+BITS, MOST_BITS = 256, 1 << 15
 #: Longest extension of a prefix, and the cost of verifying a candidate against that of a posting.
 MOST, VERIFY = 4, 20
+#: Classes of one shingle that a task pairs with each other.
+LONG = 1024
 
 
-def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
-    data = common.lowered(common.as_bytes(text))
-    words = common.slice_hashes(data, *common.word_bounds(data))
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    return np.unique(common.run_hashes(words, min(k, len(words))) ^ np.uint64(0 if len(words) >= k else len(words)))
+def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles; fewer than k words are one shingle."""
+    data, offsets = common.buffer_of(column)
+    starts, ends, first = common.words_of(data, offsets)
+    words = common.word_hashes(common.lowered(data), starts, ends)
+    grams = common.run_hashes(words, k)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        yield np.unique(grams[a : b - k + 1]) if b - a >= k else common.run_hashes(words[a:b], b - a) if b > a else grams[:0]
 
 
 def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
@@ -59,8 +65,14 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """BITS parities: of the shingles that fall on a bit, whether they are odd in number."""
-    return np.packbits((np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Parities, BITS of them or so many that a set has few to a bit: of the shingles that fall on a bit, whether they are odd in number."""
+    bits = min(MOST_BITS, max(BITS, 1 << (len(tokens) * 3 // 5).bit_length()))
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int = BITS // 8) -> bytes:
+    """The bitmap that a set has with `size` bytes: a bit's parity is that of all bits that fall on it."""
+    return bits if len(bits) == size else np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0).tobytes()
 
 
 def _needed(n, percent: int):
@@ -73,14 +85,12 @@ def _sized(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
     counts = np.zeros(BUCKETS, np.int64)
     schema = pa.schema([("block", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
-        sizes, prints, bits, buckets = [], [], [], [np.zeros(0, np.int64)]
-        for text in batch.column("text").to_pylist():
-            s = shingles(text, k)
+        sizes, prints, bits = [], [], []
+        for s in shingle_sets(batch.column("text"), k):
             sizes.append(len(s))
             prints.append(fingerprint(s))
             bits.append(bitmap(s))
-            buckets.append((s >> np.uint64(46)).astype(np.int64))
-        counts += np.bincount(np.concatenate(buckets), minlength=BUCKETS)
+            np.add.at(counts, (s >> np.uint64(46)).astype(np.int64), 1)
         cols = [batch.column(c) for c in ("block", "row", "doc_id")] + [pa.array(sizes, pa.int32()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(bits, pa.binary())]
         none = pa.nulls(batch.num_rows)
         yield pa.RecordBatch.from_arrays([*cols, none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
@@ -116,14 +126,18 @@ def prefix(tokens: np.ndarray, frequency: np.ndarray, percent: int = PERCENT) ->
     return tokens[first[: n - need + match]], match
 
 
-def _postings(batches: Iterator[pa.RecordBatch], k: int, percent: int, frequency) -> Iterator[pa.RecordBatch]:
+def _kept_rows(batch: pa.RecordBatch, table: pa.Table | None) -> pa.RecordBatch:
+    """The rows of a batch that its findings name."""
+    rows = batch.column("row").to_numpy()
+    return batch.filter(pa.array(np.isin(rows, table.column("row").to_numpy()) if table is not None else np.zeros(len(rows), bool)))
+
+
+def _postings(batches: Iterator[pa.RecordBatch], k: int, percent: int, frequency, path: str) -> Iterator[pa.RecordBatch]:
+    """(token, f1, f2, n, at) of the prefixes of the rows at path; at is 8 times a token's place, plus l."""
     freq = frequency.value
-    for batch in batches:
-        token, f1, f2, n, at = [], [], [], [], []
-        for text in batch.column("text").to_pylist():
-            s = shingles(text, k)
-            if not len(s):
-                continue
+    for whole, table in located(batches, path):
+        token, f1, f2, n, at = ([np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.int32, np.int32))
+        for s in shingle_sets(_kept_rows(whole, table).column("text"), k):
             p, match = prefix(s, freq, percent)
             a, b = fingerprint(s)
             m = len(p)
@@ -132,41 +146,21 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, percent: int, frequency
             f2.append(np.full(m, b, np.int64))
             n.append(np.full(m, len(s), np.int32))
             at.append(np.arange(m, dtype=np.int32) * 8 + match)
-        join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
-        yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(token) if token else np.zeros(0, np.uint64)).view(np.int64)), join(f1, np.int64), join(f2, np.int64), join(n, np.int32), join(at, np.int32)], names=["token", "f1", "f2", "n", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (f1, f2, n, at))], names=["token", "f1", "f2", "n", "at"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The postings of tokens that more than one class holds; batches come sorted by token, and a token never spans two results."""
-    held: dict[str, np.ndarray] | None = None
-    for batch in batches:
-        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        if held is not None:
-            now = {c: np.concatenate((held[c], now[c])) for c in now}
-        if not len(now["token"]):
-            continue
-        cut = np.searchsorted(now["token"], now["token"][-1])  # the last token may go on
-        held = {c: x[cut:] for c, x in now.items()}
-        if cut:
-            yield {c: x[:cut] for c, x in now.items()}
-    if held is not None and len(held["token"]):
-        yield held
+def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "bits"} | (
+        {"bits": np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)} if "bits" in batch.schema.names else {}
+    )
 
 
-def _distinct(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Without repeats of a class in a run, and without runs of one class. Rows are sorted by token, n, f1, f2."""
-    same = np.zeros(len(x["token"]), bool)
-    if len(same) > 1:
-        same[1:] = (x["token"][1:] == x["token"][:-1]) & (x["f1"][1:] == x["f1"][:-1]) & (x["f2"][1:] == x["f2"][:-1])
-    x = {c: v[~same] for c, v in x.items()}
-    _, inverse, count = np.unique(x["token"], return_inverse=True, return_counts=True)
-    more = count[inverse] > 1
-    return {c: v[more] for c, v in x.items()}
+def _joined(x: dict[str, np.ndarray] | None, y: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return y if x is None else {c: np.concatenate((x[c], y[c])) for c in y}
 
 
-def _bounds(token: np.ndarray) -> zip:
-    edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-    return zip(edge[:-1], edge[1:], strict=True)
+def _of(x: dict[str, np.ndarray], rows) -> dict[str, np.ndarray]:
+    return {c: v[rows] for c, v in x.items()}
 
 
 def _possible(n, at, m, bt, percent: int, match) -> np.ndarray:
@@ -175,73 +169,158 @@ def _possible(n, at, m, bt, percent: int, match) -> np.ndarray:
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - at, m - bt) >= overlap - match + 1)
 
 
+class _Long:
+    """The run of one token that is too long for one cell, met piece by piece in order of n."""
+
+    def __init__(self, token: int) -> None:
+        self.token, self.most, self.centre = token, [], None
+
+
 def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From sorted postings: those of shared tokens (kind 0) and, for runs of three or more, pairs with the run's centre (kind 1)."""
-    names = ["kind", "token", "f1", "f2", "n", "at", "g1", "g2"]
-    for x in _runs(batches):
-        x = _distinct(x)
+    """From postings sorted by token and n: those of shared tokens (kind 0) with the cells where they meet others, and, for
+    runs of three or more, pairs with the run's centre (kind 1). In its own cell a posting has the role 0, in the cells of
+    those before it 1."""
+    names = ["kind", "token", "cell", "role", "f1", "f2", "n", "at", "g1", "g2"]
+
+    def own(x: dict[str, np.ndarray], cell: int, role: int) -> pa.RecordBatch:
         size = len(x["token"])
-        if not size:
+        number = lambda v: np.full(size, v, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (number(0), x["token"], number(cell), number(role), x["f1"], x["f2"], x["n"], x["at"], np.zeros(size, np.int64), np.zeros(size, np.int64))], names=names)
+
+    def stars(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Rows of x with their centres y, where these may link."""
+        ok = (x["f1"] != y["f1"]) & _possible(x["n"].astype(np.int64), x["at"] // 8, y["n"].astype(np.int64), y["at"] // 8, percent, MOST)
+        if ok.any():
+            a, b = _of(x, ok), _of(y, ok)
+            size = len(a["f1"])
+            none = np.zeros(size, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.ones(size, np.int32), np.zeros(size, np.int64), none, none, a["f1"], a["f2"], none, none, b["f1"], b["f2"])], names=names)
+
+    def short(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Whole runs, LONG at most."""
+        begins = np.concatenate(([True], x["token"][1:] != x["token"][:-1])) if len(x["token"]) else np.zeros(0, bool)
+        run = np.cumsum(begins) - 1
+        count = np.bincount(run)
+        more = np.flatnonzero(count[run] > 1)
+        if not len(more):
+            return
+        yield own(_of(x, more), 0, 0)
+        order = np.lexsort((x["f2"], x["f1"], run))  # the centre has the least fingerprint, so it is one for most tokens of a group
+        centre = order[np.flatnonzero(begins)]
+        some = np.flatnonzero(count[run] > 2)
+        yield from stars(_of(x, some), _of(x, centre[run[some]]))
+
+    def long(state: _Long, x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(x["token"]), LONG):
+            part = _of(x, slice(i, i + LONG))
+            yield own(part, len(state.most), 0)
+            for cell, most in enumerate(state.most):
+                fits = np.flatnonzero(100 * most >= percent * part["n"].astype(np.int64))
+                if len(fits):
+                    yield own(_of(part, fits), cell, 1)
+            here = _of(part, np.lexsort((part["f2"], part["f1"]))[:1])
+            state.centre = state.centre or here
+            for centre in (here, state.centre):
+                yield from stars(part, _of(centre, np.zeros(len(part["token"]), np.int64)))
+            state.most.append(int(part["n"].max()))
+
+    held: dict[str, np.ndarray] | None = None
+    state: _Long | None = None
+
+    def ended(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """All of x's runs are at their end."""
+        nonlocal state
+        if state is not None:
+            mine = int(np.searchsorted(x["token"], state.token, "right"))
+            yield from long(state, _of(x, slice(0, mine)))
+            x, state = _of(x, slice(mine, None)), None
+        _, begin, count = np.unique(x["token"], return_index=True, return_counts=True)
+        done = 0
+        for i, n in zip(begin[count > LONG].tolist(), count[count > LONG].tolist(), strict=True):
+            yield from short(_of(x, slice(done, i)))
+            yield from long(_Long(int(x["token"][i])), _of(x, slice(i, i + n)))
+            done = i + n
+        yield from short(_of(x, slice(done, None)))
+
+    for batch in batches:
+        x = _joined(held, _arrays(batch))
+        if not len(x["token"]):
             continue
-        zero = np.zeros(size, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (zero.astype(np.int32), x["token"], x["f1"], x["f2"], x["n"], x["at"], zero, zero)], names=names)
-        pairs = []
-        for i, j in _bounds(x["token"]):
-            if j - i < 3:
-                continue
-            position, n = x["at"][i:j] // 8, x["n"][i:j]
-            centre = i + int(np.lexsort((x["f1"][i:j], position))[0])
-            ok = np.flatnonzero(_possible(n, position, x["n"][centre], x["at"][centre] // 8, percent, MOST)) + i
-            ok = ok[ok != centre]
-            pairs.append(np.column_stack((x["f1"][ok], x["f2"][ok], np.full(len(ok), x["f1"][centre]), np.full(len(ok), x["f2"][centre]))))
-        if pairs and len(p := np.concatenate(pairs)):
-            none = np.zeros(len(p), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.ones(len(p), np.int32), none, p[:, 0], p[:, 1], none.astype(np.int32), none.astype(np.int32), p[:, 2], p[:, 3])], names=names)
+        cut = int(np.searchsorted(x["token"], x["token"][-1]))  # the last token may go on
+        if cut:
+            yield from ended(_of(x, slice(0, cut)))
+        held = _of(x, slice(cut, None))
+        if len(held["token"]) > LONG:
+            state = state or _Long(int(held["token"][0]))
+            whole = len(held["token"]) // LONG * LONG
+            yield from long(state, _of(held, slice(0, whole)))
+            held = _of(held, slice(whole, None))
+    if held is not None and (len(held["token"]) or state is not None):
+        yield from ended(held)
+
+
+def _meets(x: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows p and q those of different components that may link, by their sizes, places and bitmaps."""
+    n, m = x["n"][p].astype(np.int64), x["n"][q].astype(np.int64)
+    ok = (x["comp"][p] != x["comp"][q]) & _possible(n, x["at"][p] // 8, m, x["at"][q] // 8, percent, np.minimum(x["at"][p] % 8, x["at"][q] % 8))
+    p, q, n, m = p[ok], q[ok], n[ok], m[ok]
+    shared = (n + m - np.bitwise_count(x["bits"][p] ^ x["bits"][q]).sum(axis=1, dtype=np.int64)) // 2
+    ok = 100 * shared >= percent * (n + m - shared)
+    return p[ok], q[ok]
 
 
 def _crossed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From sorted postings with the component that the stars gave: pairs of different components (a, b, need)."""
-    names = ["a1", "a2", "b1", "b2", "need"]
-    for x in _runs(batches):
-        at, match = x["at"] // 8, x["at"] % 8
-        for i, j in _bounds(x["token"]):
-            if j - i < 2 or len(np.unique(x["comp"][i:j])) < 2:
-                continue
-            out = []
-            for p in range(i, j - 1):  # rows are sorted by n, so the sizes that fit are a slice
-                end = i + int(np.searchsorted(x["n"][i:j], int(x["n"][p]) * 100 // percent, "right"))
-                q = np.arange(p + 1, end)
-                need = np.minimum(match[p], match[q])
-                q = q[(x["comp"][q] != x["comp"][p]) & _possible(x["n"][p], at[p], x["n"][q], at[q], percent, need)]
-                if len(q):
-                    out.append(np.column_stack((np.full(len(q), x["f1"][p]), np.full(len(q), x["f2"][p]), x["f1"][q], x["f2"][q], np.minimum(match[p], match[q]))))
-                if out and (len(out) >= 512 or p == j - 2):
-                    o = np.concatenate(out)
-                    out = []
-                    low = (o[:, 0] < o[:, 2]) | ((o[:, 0] == o[:, 2]) & (o[:, 1] < o[:, 3]))
-                    o[~low] = o[~low][:, [2, 3, 0, 1, 4]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(o[:, c])) for c in range(4)] + [pa.array(o[:, 4].astype(np.int32))], names=names)
+    """From postings sorted by token, cell, role and n, with the component that the stars gave and bitmaps: pairs of
+    different components (a, b, need) that may link, once for each token they share."""
+
+    def pairs(x: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        p, q = _meets(x, p, q, percent)
+        if len(p):
+            low = (x["f1"][p] < x["f1"][q]) | ((x["f1"][p] == x["f1"][q]) & (x["f2"][p] < x["f2"][q]))
+            p, q = np.where(low, p, q), np.where(low, q, p)
+            need = np.minimum(x["at"][p] % 8, x["at"][q] % 8).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x["f1"][p], x["f2"][p], x["f1"][q], x["f2"][q], need)], names=["a1", "a2", "b1", "b2", "need"])
+
+    def within(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Rows of role 0 of whole cells: each against those after it in its cell, as far as sizes fit."""
+        run = np.cumsum(np.concatenate(([0], (x["token"][1:] != x["token"][:-1]) | (x["cell"][1:] != x["cell"][:-1])))) if len(x["token"]) else np.zeros(0, np.int64)
+        p, step = np.arange(len(run)), 1
+        while len(p := p[p + step < len(run)]):
+            q = p + step
+            fits = (run[p] == run[q]) & (100 * x["n"][p].astype(np.int64) >= percent * x["n"][q].astype(np.int64))
+            p = p[fits]
+            yield from pairs(x, p, p + step)
+            step += 1
+
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        x = _joined(held, _arrays(batch))
+        size = len(x["token"])
+        if not size:
+            continue
+        key = np.concatenate(([True], (x["token"][1:] != x["token"][:-1]) | (x["cell"][1:] != x["cell"][:-1])))
+        begin = np.flatnonzero(key)
+        cell = np.cumsum(key) - 1
+        for c in np.unique(cell[x["role"] == 1]).tolist():  # rows of long runs against the cell's own, which stand before them
+            rows = np.arange(begin[c], begin[c + 1] if c + 1 < len(begin) else size)
+            mine, later = rows[x["role"][rows] == 0], rows[x["role"][rows] == 1]
+            for p in mine.tolist():
+                fits = later[100 * int(x["n"][p]) >= percent * x["n"][later].astype(np.int64)]
+                yield from pairs(x, np.full(len(fits), p), fits)
+        cut = begin[-1]  # the last cell may go on
+        yield from within(_of(x, np.flatnonzero(x["role"][:cut] == 0)))
+        held = _of(x, np.flatnonzero((x["role"] == 0) & (np.arange(size) >= cut)))
+    if held is not None:
+        yield from within(held)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], path: str, k: int) -> Iterator[pa.RecordBatch]:
     """(f1, f2, tokens) of the rows that stand for the classes at path."""
-    index = lambda t: dict.fromkeys(t.column("row").to_pylist(), True)
-    out: list[tuple] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["f1", "f2", "tokens"])
-
-    for _, values, found in with_findings(batches, path, index):
-        if found:
-            s = shingles(values[1], k)
-            out.append((*fingerprint(s), s.tobytes()))
-            size += s.nbytes
-            if size > 4 << 20:
-                yield flush()
-                out, size = [], 0
-    yield flush()
+    for whole, table in located(batches, path):
+        if table is not None:
+            sets = [(*fingerprint(s), s.tobytes()) for s in shingle_sets(_kept_rows(whole, table).column("text"), k)]
+            cols = list(zip(*sets, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["f1", "f2", "tokens"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -258,11 +337,13 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs that the bound from their bitmaps allows to link."""
     for batch in batches:
-        n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "m"))
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("x", "y"))
-        shared = (n + m - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
-        keep = 100 * shared >= percent * (n + m - shared)
-        yield batch.select(["a1", "a2", "b1", "b2"]).filter(pa.array(keep))
+        keep = []
+        for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True):
+            size = min(len(x), len(y))
+            apart = (int.from_bytes(folded(x, size), "little") ^ int.from_bytes(folded(y, size), "little")).bit_count()
+            shared = (n + m - apart) // 2
+            keep.append(100 * shared >= percent * (n + m - shared))
+        yield batch.select(["a1", "a2", "b1", "b2"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, name: str) -> DataFrame:
@@ -290,33 +371,41 @@ def classes_and_links(documents: DataFrame, k: int = SHINGLE, percent: int = PER
     rows = first.where("part is null").drop("part", "counts", "bits")
     members = first.where("part is null and n > 0").groupBy("f1", "f2")
     classes = common.written(members.agg(F.min("doc_id").alias("rep"), F.min(F.struct("block", "row")).alias("key"), F.first("n").alias("n"), F.max("bits").alias("bits")), "classes")
+    path = by_block(classes.select("key.block", "key.row"), "stand-ins")
     parts = first.where("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(_added, "part int, counts binary").collect()  # BUCKETS numbers in all
     counts = np.zeros(BUCKETS, np.int64)
     for r in parts:
         counts.reshape(PARTS, -1)[r["part"]] = np.frombuffer(r["counts"], np.int64)
     mean = counts.mean()
     frequency = spark.sparkContext.broadcast(np.maximum(0, counts - mean - 4 * np.sqrt(mean + 1)))  # BUCKETS numbers
-    posted = docs.select("text").mapInArrow(lambda it: _postings(it, k, percent, frequency), "token long, f1 long, f2 long, n int, at int")
+    posted = docs.select("block", "row", "text").mapInArrow(lambda it: _postings(it, k, percent, frequency, path), "token long, f1 long, f2 long, n int, at int")
     posted = posted.repartition(partitions, "token").sortWithinPartitions("token", "n", "f1", "f2")
-    shared = common.written(posted.mapInArrow(lambda it: _shared(it, percent), "kind int, token long, f1 long, f2 long, n int, at int, g1 long, g2 long"), "shared")
-    own = shared.where("kind = 0").select("token", "f1", "f2", "n", "at")
+    shared = common.written(posted.mapInArrow(lambda it: _shared(it, percent), "kind int, token long, cell int, role int, f1 long, f2 long, n int, at int, g1 long, g2 long"), "shared")
+    own = shared.where("kind = 0").select("token", "cell", "role", "f1", "f2", "n", "at")
     star = shared.where("kind = 1").select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("g1").alias("b1"), F.col("g2").alias("b2")).distinct()
     links = _verified(star, docs, classes, k, percent, "star")
     linked = components(links.select(F.struct(F.col("a1").alias("f1"), F.col("a2").alias("f2")).alias("a"), F.struct(F.col("b1").alias("f1"), F.col("b2").alias("f2")).alias("b")))
     comp = linked.select(F.col("node.f1"), F.col("node.f2"), F.xxhash64("component.f1", "component.f2").alias("comp"))
-    dealt = own.join(comp, ["f1", "f2"], "left").select("token", "f1", "f2", "n", "at", F.coalesce("comp", F.xxhash64("f1", "f2")).alias("comp"))
-    dealt = dealt.repartition(partitions, "token").sortWithinPartitions("token", "n", "f1", "f2")
+    fold = lambda it: (pa.RecordBatch.from_arrays([*(b.column(c) for c in ("f1", "f2", "comp")), pa.array([folded(x) for x in b.column("bits").to_pylist()], pa.binary())], names=["f1", "f2", "comp", "bits"]) for b in it)
+    known = classes.select("f1", "f2", "bits").join(comp, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("comp", F.xxhash64("f1", "f2")).alias("comp"), "bits")
+    known = known.mapInArrow(fold, "f1 long, f2 long, comp long, bits binary")
+    dealt = own.join(known, ["f1", "f2"]).select("token", "cell", "role", "f1", "f2", "n", "at", "comp", "bits")
+    dealt = dealt.repartition(partitions, "token", "cell").sortWithinPartitions("token", "cell", "role", "n", "f1", "f2")
     crossed = dealt.mapInArrow(lambda it: _crossed(it, percent), "a1 long, a2 long, b1 long, b2 long, need int")
     crossed = crossed.groupBy("a1", "a2", "b1", "b2").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").drop("shared", "need")
     return rows, classes.drop("bits"), links.unionByName(_verified(crossed, docs, classes, k, percent, "crossed"))
 
 
+def _groups(links: DataFrame) -> DataFrame:
+    """(f1, f2, component) of the classes that have links."""
+    pairs = links.select(F.struct(F.col("a1").alias("f1"), F.col("a2").alias("f2")).alias("a"), F.struct(F.col("b1").alias("f1"), F.col("b2").alias("f2")).alias("b"))
+    return components(pairs).select(F.col("node.f1"), F.col("node.f2"), "component")
+
+
 def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles (size of its set), component_id (smallest doc_id that links reach, its own included)."""
     rows, classes, links = classes_and_links(documents, k, percent)
-    pairs = links.select(F.struct(F.col("a1").alias("f1"), F.col("a2").alias("f2")).alias("a"), F.struct(F.col("b1").alias("f1"), F.col("b2").alias("f2")).alias("b"))
-    group = components(pairs).select(F.col("node.f1"), F.col("node.f2"), "component")
-    member = classes.join(group, ["f1", "f2"], "left").select("f1", "f2", "rep", F.coalesce("component", F.struct("f1", "f2")).alias("component"))
+    member = classes.join(_groups(links), ["f1", "f2"], "left").select("f1", "f2", "rep", F.coalesce("component", F.struct("f1", "f2")).alias("component"))
     least = member.groupBy("component").agg(F.min("rep").alias("least"))
     least = member.join(least, "component").select("f1", "f2", "least")
     out = rows.join(least, ["f1", "f2"], "left")
@@ -326,44 +415,19 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PE
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """documents with one row of each group of near copies: of the rows that links of k-word shingles reach, the one with
     the smallest doc_id (a null one last; of repeated ids, the first row of the table stays). Empty texts all stay."""
-    documents = documents if _is_scan(documents) else common.written(documents, "input")
-    rows, classes, links = classes_and_links(documents, k, percent)
-    pairs = links.select(F.struct(F.col("a1").alias("f1"), F.col("a2").alias("f2")).alias("a"), F.struct(F.col("b1").alias("f1"), F.col("b2").alias("f2")).alias("b"))
-    group = components(pairs).select(F.col("node.f1"), F.col("node.f2"), "component")
+    documents = documents if is_scan(documents) else common.written(documents, "input")
+    rows, _, links = classes_and_links(documents, k, percent)
     best = rows.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "block", "row")).alias("best"))
-    best = best.join(group, ["f1", "f2"], "left").groupBy(F.coalesce("component", F.struct("f1", "f2")).alias("c")).agg(F.min("best").alias("best"))
-    kept = best.select("best.block", "best.row").unionByName(rows.where("n = 0").select("block", "row"))
-    path = by_block(kept, "kept")
-    schema = documents.schema
+    best = best.join(_groups(links), ["f1", "f2"], "left").groupBy(F.coalesce("component", F.struct("f1", "f2")).alias("c")).agg(F.min("best").alias("best"))
+    path = by_block(best.select("best.block", "best.row").unionByName(rows.where("n = 0").select("block", "row")), "kept")
     names = documents.columns
     docs = keyed(documents, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quarry.llm.aligned import _load
-
-        block, stay = None, set()
-        for batch in batches:
-            keep = []
-            for i, (b, r) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if b != block:
-                    table = _load(path, b)
-                    block, stay = b, set() if table is None else set(table.column("row").to_pylist())
-                if r in stay:
-                    keep.append(i)
-            kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays(kept.columns[2:], names=names)
-
-    return docs.mapInArrow(only, schema)
-
-
-def _is_scan(df: DataFrame) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        df.select("_metadata.row_index")
-    except AnalysisException:
-        return False
-    return True
+        for whole, table in located(batches, path):
+            yield pa.RecordBatch.from_arrays(_kept_rows(whole, table).columns[2:], names=names)
+
+    return docs.mapInArrow(only, documents.schema)
 
 
 SQL = r"""

@@ -1,63 +1,73 @@
 """Recurring windows of a corpus: which stretches of a text are worth comparing, and with what.
 
-A window is `window` consecutive units (bytes or words). Of the k-unit grams in a window the one with the least hash is
-its anchor; equal windows have equal anchors at equal places, so a window can recur only if its anchor's gram does. That
-leaves about 2 rows for each (window - gram + 2) units to count. A piece is the run of windows that share one anchor:
-
-1. `anchored` counts the grams of all anchors (aggregated before the shuffle) and sends each row the ones that recur;
-2. `pieces` cuts each row's pieces at those anchors. Each task sends each of its distinct pieces once, with the first
-   place it was seen at, to the shard of the piece's gram; a gram that is an anchor in more than HOT places is split
-   further, by window. The occurrences stay behind as a table of short rows;
-3. a resolver (suffix merging or automata) finds for each distinct piece which of its windows were seen earlier, and
-   where first; `removed` joins that to the occurrences and sends the ranges to remove back to the rows.
-
-Texts are never shuffled. Nothing depends on how the input is split.
+A window is `window` consecutive units (bytes or words) of one text. Of the k-unit grams in a window the one with the
+least hash is its anchor; equal windows have equal anchors at equal places, so a window can recur only if its anchor's
+gram does. That leaves about 2 rows for each (window - gram + 2) units to count. A piece is the run of windows that share
+one anchor: the units from the first of them to the end of the last.
+
+`recurring` counts the grams of all anchors and sends them back to the rows that hold them, by groups of `grain` rows;
+`pieces` cuts the pieces at those anchors in a second scan. Texts are never shuffled, and nothing depends on how the
+input is split. All that is done with a batch of texts is done by numpy over its one buffer of bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common
-from quarry.llm.aligned import by_block, keyed, with_findings
+from quarry.llm.aligned import by_block, located
 
 #: An anchor's gram in more places than this is split by window.
 HOT = 5000
-#: Distinct pieces to a shard, about; and bytes of pieces that a task holds before it sends them.
-SHARD, HELD = 40_000, 48 << 20
 #: A null doc_id comes after all others.
 LAST = 2**63 - 1
+#: Of so many grams one is a sample of their contents.
+SAMPLED = 256
 
 _POSITION = np.uint64((1 << 24) - 1)
-CHUNK = 1 << 23
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """How a text is cut: window and gram in units; units(text) gives (unit hashes or bytes, slicer(first, end) -> bytes)."""
+    """units(bytes, offsets) gives (gram hashes by unit, first unit of each text and the number of all, begins, ends): unit
+    i is the bytes from begins[i] to ends[i], or byte i where these are None."""
 
     window: int
     gram: int
     units: Callable
-    grams: Callable
     within: bool  # whether an earlier start in the same document counts
-    pack: Callable  # distinct pieces of a shard as bytes
+    grain: int
+    sampled: bool = False  # whether contents of grams are sampled
 
 
-def anchors(grams: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, first, last): each anchor and the windows of `windows` grams, by their starts, whose least gram it is.
+@dataclass
+class Cut:
+    """A batch's pieces: text, anchor and the first and last window of each, in units of the batch; hashes of their grams."""
 
-    The leftmost of equal grams wins. A long text is cut into overlapping chunks; an anchor met in two of them is given
+    data: np.ndarray
+    first: np.ndarray
+    begins: np.ndarray | None
+    ends: np.ndarray | None
+    text: np.ndarray
+    at: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    h: np.ndarray
+
+
+def anchors(grams: np.ndarray, windows: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first, last): each anchor and the valid windows of `windows` grams, by their starts, whose least gram it is.
+
+    The leftmost of equal grams wins. Many units are cut into overlapping chunks; an anchor met in two of them is given
     twice, with the windows of each."""
-    n = len(grams) - windows + 1
+    n = min(len(grams) - windows + 1, len(valid))
     out: list[np.ndarray] = []
     for lo in range(0, max(n, 0), CHUNK):
         hi = min(lo + CHUNK, n)
@@ -69,156 +79,105 @@ def anchors(grams: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray, np
             span *= 2
         rest = windows - span
         least = (np.minimum(m[: hi - lo], m[rest : rest + hi - lo]) & _POSITION).astype(np.int64)
-        edge = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        ok = valid[lo:hi]
+        edge = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (ok[1:] != ok[:-1]))))
         last = np.concatenate((edge[1:], [hi - lo])) - 1
+        keep = ok[edge]
+        edge, last = edge[keep], last[keep]
         out.append(np.stack((least[edge] + lo, edge + lo, last + lo)))
     all_ = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
     return all_[0], all_[1], all_[2]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], s: Scheme) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, hs, ns = [], [], []
-        for text in batch.column("text").to_pylist():
-            grams = s.grams(s.units(text)[0])
-            at, _, _ = anchors(grams, s.window - s.gram + 1)
-            h, n = np.unique(grams[at], return_counts=True)
-            sizes.append(len(h))
-            hs.append(h.view(np.int64))
-            ns.append(n if s.within else np.ones_like(n))
-        again = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        flat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
-        yield pa.RecordBatch.from_arrays([batch.column("block").take(again), batch.column("row").take(again), flat(hs, np.int64), flat(ns, np.int32)], names=["block", "row", "h", "n"])
-
-
-def anchored(docs: DataFrame, s: Scheme) -> tuple[str, int]:
-    """Where the recurring anchors of each row of keyed docs are written, by block; and how many there are."""
-    rows = common.written(docs.select("block", "row", "text").mapInArrow(lambda it: _anchor_rows(it, s), "block long, row long, h long, n int"), "anchors")
-    recurring = rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    path = by_block(rows.select("block", "row", "h").join(recurring, "h"), "recurring")
-    count = docs.sparkSession.read.schema("row long, h long, hot boolean").parquet(path).count()
-    return path, count
-
-
-def _recurring(table: pa.Table) -> dict:
-    out: dict[int, dict[int, bool]] = {}
-    for row, h, hot in zip(table.column("row").to_pylist(), table.column("h").to_pylist(), table.column("hot").to_pylist(), strict=True):
-        out.setdefault(row, {})[h] = hot
-    return out
-
-
-PIECES = "kind int, shard int, blob binary, p1 long, p2 long, block long, row long, doc long, first long"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary()), ("p1", pa.int64()), ("p2", pa.int64()), ("block", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("first", pa.int64())])
+def cut(column: pa.Array, s: Scheme) -> Cut:
+    data, offsets = common.buffer_of(column)
+    grams, first, begins, ends = s.units(data, offsets)
+    size = np.diff(first)
+    edge = np.zeros(int(first[-1]) + 1, np.int64)
+    some = size >= s.window
+    np.add.at(edge, first[:-1][some], 1)
+    np.add.at(edge, first[1:][some] - s.window + 1, -1)
+    at, lo, hi = anchors(grams, s.window - s.gram + 1, np.cumsum(edge[:-1]) > 0)
+    return Cut(data, first, begins, ends, np.searchsorted(first, lo, "right") - 1, at, lo, hi, grams[at])
 
 
-def digest(piece: bytes) -> bytes:
-    return hashlib.blake2b(piece, digest_size=16).digest()
-
-
-def _piece_rows(batches: Iterator[pa.RecordBatch], s: Scheme, path: str, shards: int) -> Iterator[pa.RecordBatch]:
-    held: dict[bytes, list] = {}
-    size = 0
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-
-    def sent() -> pa.RecordBatch:
-        by: dict[int, list] = {}
-        for piece in held.values():
-            by.setdefault(piece[0] % shards, []).append(piece)
-        n = len(by)
-        null = [pa.nulls(n, f.type) for f in list(_SCHEMA)[3:]]
-        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(list(by), pa.int32()), pa.array([squeeze(s.pack(x)) for x in by.values()], pa.binary()), *null], schema=_SCHEMA)
+def _anchor_rows(batches: Iterator[pa.RecordBatch], s: Scheme) -> Iterator[pa.RecordBatch]:
+    """Rows (block, row, h, n, gram): of `grain` rows of a block, from row on, how often a gram is an anchor in them (in how
+    many texts, if starts in the same document do not count), and some grams' contents."""
+    for batch, _ in located(batches, ""):
+        c = cut(batch.column("text"), s)
+        group = batch.column("row").to_numpy() // s.grain * s.grain
+        h, row, text = c.h, group[c.text], c.text
+        order = np.lexsort((text, h, row))
+        h, row, text, at = h[order], row[order], text[order], c.at[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        count = np.ones(len(h), np.int64)
+        if not s.within:
+            count[1:] = new[1:] | (text[1:] != text[:-1])
+        begin = np.flatnonzero(new)
+        n = np.add.reduceat(count, begin) if len(begin) else np.zeros(0, np.int64)
+        h, row, at = h[begin], row[begin], at[begin]
+        grams: list[bytes | None] = [None] * len(h)
+        if s.sampled:
+            for i in np.flatnonzero(h % np.uint64(SAMPLED) == 0).tolist():
+                grams[i] = c.data[at[i] : at[i] + s.gram].tobytes()
+        block = np.full(len(h), batch.column("block")[0].as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(row), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(grams, pa.binary())], names=["block", "row", "h", "n", "gram"])
+
+
+def recurring(docs: DataFrame, s: Scheme) -> tuple[str, int, DataFrame]:
+    """(path, count, samples): where the recurring anchors of keyed docs are written by block (row, h, hot), how many rows
+    these are, and the samples of grams (h, gram)."""
+    rows = common.written(docs.select("block", "row", "text").mapInArrow(lambda it: _anchor_rows(it, s), "block long, row long, h long, n int, gram binary"), "anchors")
+    seen = rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    path = by_block(rows.select("block", "row", "h").join(seen, "h"), "recurring")
+    count = docs.sparkSession.read.schema("row long, h long, hot boolean").parquet(path).count()
+    return path, count, rows.where("gram is not null").select("h", "gram")
 
-    def met(batch_rows: list[tuple]) -> pa.RecordBatch:
-        n = len(batch_rows)
-        keys = np.frombuffer(b"".join(x[0] for x in batch_rows), np.int64).reshape(n, 2)
-        cols = [pa.array([x[i] for x in batch_rows], pa.int64()) for i in range(1, 5)]
-        return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), *cols], schema=_SCHEMA)
 
-    out: list[tuple] = []
-    for block, (row, doc, text), found in with_findings(batches, path, _recurring):
-        if not found:
+def pieces(batches: Iterator[pa.RecordBatch], s: Scheme, path: str) -> Iterator[tuple[pa.RecordBatch, Cut, np.ndarray]]:
+    """(batch, its pieces at recurring anchors, whether each anchor is hot)."""
+    for batch, table in located(batches, path, s.grain):
+        if table is None:
             continue
-        doc = LAST if doc is None else doc
-        units, cut = s.units(text)
-        grams = s.grams(units)
-        at, first, last = anchors(grams, s.window - s.gram + 1)
-        hs = grams[at].view(np.int64)
-        for i in np.flatnonzero(np.isin(hs, np.fromiter(found, np.int64, len(found)))).tolist():
-            h, a, lo, hi = int(hs[i]), int(at[i]), int(first[i]), int(last[i])
-            hot = found[h]
-            for q, e in [(q, q) for q in range(lo, hi + 1)] if hot else [(lo, hi)]:
-                piece = cut(q, e + s.window)
-                key = digest(piece)
-                out.append((key, block, row, doc, q))
-                old = held.get(key)
-                if old is None:
-                    group = int.from_bytes(key[:8], "little", signed=True) if hot else h
-                    held[key] = [group, piece, 0 if hot else a - q, doc, q, doc]
-                    size += len(piece) + 200
-                else:
-                    if (doc, q) < (old[3], old[4]):
-                        old[3], old[4] = doc, q
-                    old[5] = max(old[5], doc)
-        if len(out) > 50_000:
-            yield met(out)
-            out = []
-        if size > HELD:
-            yield sent()
-            held, size = {}, 0
-    if out:
-        yield met(out)
-    if held:
-        yield sent()
-
-
-def removed(documents: DataFrame, s: Scheme, resolve: Callable, columns: str) -> tuple[DataFrame, str]:
-    """(docs, path): keyed docs (block, row, doc_id, text) and, by block, the windows to remove as ranges (row, q1, q2) of their starts.
-
-    resolve(batches of (shard, blob), sorted by shard) yields rows (p1, p2, o1, o2, doc, start): of the piece, the windows
-    from its o1-th to its o2-th were first seen in doc, from start on.
-    """
-    spark = documents.sparkSession
-    docs = keyed(documents, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    path, count = anchored(docs, s)
-    parts = common.shuffle_partitions(spark)
-    shards = max(parts, count // SHARD)
-    found = common.written(docs.mapInArrow(lambda it: _piece_rows(it, s, path, shards), PIECES), "pieces")
-    dealt = found.where("kind = 0").select("shard", "blob").repartition(parts, "shard").sortWithinPartitions("shard")
-    resolved = dealt.mapInArrow(resolve, "p1 long, p2 long, o1 long, o2 long, doc long, start long").withColumnsRenamed({"doc": "of", "start": "at"})
-    seen = found.where("kind = 1").select("p1", "p2", "block", "row", "doc", "first").join(resolved, ["p1", "p2"])
-    earlier = F.col("of") < F.col("doc")
-    if s.within:
-        earlier |= (F.col("of") == F.col("doc")) & (F.col("at") < F.col("first") + F.col("o1"))
-    ranges = seen.where(earlier).select("block", "row", (F.col("first") + F.col("o1")).alias("q1"), (F.col("first") + F.col("o2")).alias("q2"))
-    return docs, by_block(ranges, "ranges")
-
-
-def ranges_of(table: pa.Table) -> dict:
-    out: dict[int, list[tuple[int, int]]] = {}
-    for row, a, b in zip(table.column("row").to_pylist(), table.column("q1").to_pylist(), table.column("q2").to_pylist(), strict=True):
-        out.setdefault(row, []).append((a, b))
-    return out
-
-
-def covered(n: int, ranges: list[tuple[int, int]] | None, window: int) -> np.ndarray:
-    """Of n units, those inside a window that starts in one of the ranges."""
-    edge = np.zeros(n + 1, np.int64)
-    for a, b in ranges or ():
-        edge[a] += 1
-        edge[min(b + window, n)] -= 1
+        c = cut(batch.column("text"), s)
+        known = table.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(known, kind="stable")
+        known, hot = known[order], np.asarray(table.column("hot").to_numpy(zero_copy_only=False), bool)[order]
+        i = np.searchsorted(known, c.h).clip(0, len(known) - 1)
+        keep = np.flatnonzero(known[i] == c.h)
+        yield batch, Cut(c.data, c.first, c.begins, c.ends, c.text[keep], c.at[keep], c.lo[keep], c.hi[keep], c.h[keep]), hot[i[keep]]
+
+
+class Ranges:
+    """Windows to remove as rows (block, row, q1, q2), of their starts within the text; neighbours are joined."""
+
+    NAMES = ["block", "row", "q1", "q2"]
+
+    def __init__(self) -> None:
+        self.out: list[list[int]] = []
+
+    def add(self, block: int, row: int, q1: int, q2: int) -> None:
+        last = self.out[-1] if self.out else None
+        if last is not None and last[1] == row and last[0] == block and last[3] + 1 == q1:
+            last[3] = q2
+        else:
+            self.out.append([block, row, q1, q2])
+
+    def taken(self) -> list[np.ndarray]:
+        out = np.array(self.out, np.int64).reshape(-1, 4)
+        self.out = []
+        return [np.ascontiguousarray(out[:, i]) for i in range(4)]
+
+
+def marked(table: pa.Table | None, batch: pa.RecordBatch, first: np.ndarray, window: int) -> np.ndarray:
+    """Of all units of a batch's texts (first: of each text, and all), those inside a window that starts in a range of the table."""
+    edge = np.zeros(int(first[-1]) + 1, np.int64)
+    if table is not None:
+        rows = batch.column("row").to_numpy()
+        order = np.argsort(rows, kind="stable")
+        text = order[np.searchsorted(rows[order], table.column("row").to_numpy())]
+        np.add.at(edge, first[text] + table.column("q1").to_numpy(), 1)
+        np.add.at(edge, first[text] + table.column("q2").to_numpy() + window, -1)
     return np.cumsum(edge[:-1]) > 0
-
-
-def segments(first: list[tuple[int, int] | None]) -> Iterator[tuple[int, int, int, int]]:
-    """Runs (o1, o2, doc, start) of a piece's windows that were first seen in a row; None: seen nowhere else."""
-    i = 0
-    while i < len(first):
-        if first[i] is None:
-            i += 1
-            continue
-        doc, start = first[i]
-        j = i
-        while j + 1 < len(first) and first[j + 1] is not None and first[j + 1] == (doc, start + j + 1 - i):
-            j += 1
-        yield i, j, doc, start
-        i = j + 1

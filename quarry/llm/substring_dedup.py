@@ -1,167 +1,280 @@
-"""Substring dedup by words: recurring passages are confirmed, compiled to sharded Aho-Corasick automata, and located.
+"""Substring dedup by words: recurring passages are confirmed, compiled to sharded Aho-Corasick automata, and all
+documents are streamed through them.
 
 A window is 13 consecutive words [^\\x20\\x09-\\x0D]+ of one document; a word goes when a window over it also starts in a
-document with a smaller doc_id, judged on the input. `repeats` finds the pieces of text whose windows may recur and deals
-them to shards. A shard confirms, word by word, the windows that several documents hold, compiles them to an automaton
-over its own word numbers, and streams its distinct pieces through; every document that has a piece takes over what was
-located in it. A shard holds about repeats.SHARD pieces whatever the corpus, so automata have a bounded size.
+document with a smaller doc_id, judged on the input. The plan:
+
+1. `repeats` finds the pieces of text whose windows may recur, each around one anchor, a 5-word gram. Each task collects
+   its distinct pieces, with the smallest and largest doc_id it met them in, and sends them to the shard of the gram.
+2. A shard confirms the windows that several documents hold, by 128-bit hashes of their words. A passage is a longest run
+   of confirmed windows of a piece that were all first in the same document. A gram with more than repeats.HOT anchors is
+   sent window by window, each to the shard of its own words, so no gram is a group that grows with the corpus.
+3. Passages go back to the groups of GRAIN rows that hold their anchors. So automata are sharded by documents: those of
+   a group have the passages that may occur there and no others, at most AUTOMATON words each, and however large the
+   corpus, each document meets the automata of its own group only.
+4. The last scan streams every document, word by word, through its automata (pyahocorasick, over numbers of words; the
+   words themselves are compared). Wherever a passage occurs in a document that is not its first, its words go.
 
 Defined cases: null and empty texts have no words and lose none; documents under 13 words lose none; rows with one
 doc_id never remove from each other; a null doc_id counts as larger than any, so such rows lose what others hold and
-remove nothing. Repeated rows give rows of their own. Extra columns are ignored, and kept by `deduplicated`.
+remove nothing. Repeated rows give rows of their own. An empty table gives none. A text is streamed whole, however long,
+in memory that follows it. Extra columns are ignored; `deduplicated` returns doc_id and text.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.llm import common, repeats
-from quarry.llm.aligned import with_findings
+from quarry.llm.aligned import by_block, keyed, located
 
 WINDOW, GRAM = 13, 5
-
-
-def _units(text: str | None):
-    data = common.as_bytes(text)
-    starts, ends = common.word_bounds(data)
-    words = data.tobytes().split()
-    return common.slice_hashes(data, starts, ends), lambda first, end: b" ".join(words[first:end])
-
-
-def _pack(pieces: list[list]) -> bytes:
-    return pickle.dumps([(group, piece, first, last) for group, piece, _, first, _, last in pieces], protocol=5)
-
-
-SCHEME = repeats.Scheme(WINDOW, GRAM, _units, lambda h: common.run_hashes(h, GRAM), False, _pack)
-
-
-def _located(blobs: list[bytes]) -> Iterator[tuple]:
-    """Rows (p1, p2, o1, o2, doc, start) of one shard's pieces; the start does not matter and is the window's number."""
-    pieces: dict[bytes, list] = {}
-    for blob in blobs:
-        for group, piece, first, last in pickle.loads(blob):
-            old = pieces.get(piece)
-            if old is None:
-                pieces[piece] = [group, first, last]
-            else:
-                old[1], old[2] = min(old[1], first), max(old[2], last)
-    groups: dict[int, list[bytes]] = {}
-    for piece, (group, _, _) in pieces.items():
-        groups.setdefault(group, []).append(piece)
-    number: dict[bytes, int] = {}
-    texts: dict[bytes, tuple[int, ...]] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for members in groups.values():
-        if len(members) == 1:
-            piece = members[0]
-            _, first, last = pieces[piece]
-            if first < last:  # else one document alone holds it
-                ids = texts[piece] = tuple([number.setdefault(w, len(number)) for w in piece.split(b" ")])
-                for o in range(len(ids) - WINDOW + 1):
-                    automaton.add_word(ids[o : o + WINDOW], first)
-            continue
-        phrases: dict[tuple[int, ...], list[int]] = {}
-        own = {}
-        for piece in members:
-            _, first, last = pieces[piece]
-            ids = own[piece] = tuple([number.setdefault(w, len(number)) for w in piece.split(b" ")])
-            for o in range(len(ids) - WINDOW + 1):
-                phrase = ids[o : o + WINDOW]
-                old = phrases.get(phrase)
+#: Rows that share automata, and words of the passages in one of them.
+GRAIN, AUTOMATON = 1024, 1_500_000
+#: Recurring anchors to a shard, about; bytes of pieces that a task holds before it sends them.
+SHARD, HELD = 40_000, 32 << 20
+
+
+def _units(data: np.ndarray, offsets: np.ndarray):
+    starts, ends, first = common.words_of(data, offsets)
+    return common.run_hashes(common.word_hashes(data, starts, ends), GRAM), first, starts, ends
+
+
+SCHEME = repeats.Scheme(WINDOW, GRAM, _units, False, GRAIN)
+
+
+def _collected(batches: Iterator[pa.RecordBatch], path: str, shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, blob): a task's distinct pieces. A blob has their grams, first and last doc_id, lengths, and their words."""
+    held: dict[bytes, list] = {}
+    size = 0
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
+        for piece, (gram, group, first, last) in held.items():
+            by.setdefault(group % shards, []).append((gram, first, last, piece))
+        for shard, found in by.items():
+            gram, first, last, words = zip(*found, strict=True)
+            blob = b"".join([struct.pack("<I", len(found)), *(np.array(x, np.int64).tobytes() for x in (gram, first, last, [len(w) for w in words])), *words])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([squeeze(blob)], pa.binary())], names=["shard", "blob"])
+
+    for batch, c, hot in repeats.pieces(batches, SCHEME, path):
+        raw = c.data.tobytes()
+        docs = [repeats.LAST if d is None else d for d in batch.column("doc_id").to_pylist()]
+        # Words that more or other than one space parts are joined anew.
+        wide = np.concatenate(([0], np.cumsum((c.begins[1:] != c.ends[:-1] + 1) | (c.data[np.minimum(c.ends[:-1], len(c.data) - 1)] != 32)))) if len(c.begins) else np.zeros(0, np.int64)
+        last_word = c.hi + WINDOW - 1
+        plain = wide[last_word] == wide[c.lo]
+        lists = (c.text, c.lo, c.hi, c.begins[c.lo], c.ends[last_word], c.h.view(np.int64), plain, hot)
+        for t, lo, hi, a, b, gram, is_plain, is_hot in zip(*(x.tolist() for x in lists), strict=True):
+            doc = docs[t]
+            for words in [b" ".join(raw[c.begins[q] : c.ends[q + WINDOW - 1]].split()) for q in range(lo, hi + 1)] if is_hot else (raw[a:b] if is_plain else b" ".join(raw[a:b].split()),):
+                old = held.get(words)
                 if old is None:
-                    phrases[phrase] = [first, last]
-                else:
-                    old[0], old[1] = min(old[0], first), max(old[1], last)
-        confirmed = [(phrase, first) for phrase, (first, last) in phrases.items() if first < last]  # at least two documents
-        for phrase, first in confirmed:
-            automaton.add_word(phrase, first)
-        if confirmed:  # else the gram recurs, but no window over it
-            texts |= own
-    if not len(automaton):
-        return
-    automaton.make_automaton()
-    for piece, ids in texts.items():
-        first: list[tuple[int, int] | None] = [None] * (len(ids) - WINDOW + 1)
-        for end, doc in automaton.iter(ids):
-            first[end - WINDOW + 1] = doc, end - WINDOW + 1
-        key = np.frombuffer(repeats.digest(piece), np.int64)
-        for segment in repeats.segments(first):
-            yield int(key[0]), int(key[1]), *segment
-
-
-def by_shard(batches: Iterator[pa.RecordBatch], resolve) -> Iterator[pa.RecordBatch]:
-    """Applies resolve(blobs) to the blobs of each shard in turn; rows come sorted by shard."""
-    names = ["p1", "p2", "o1", "o2", "doc", "start"]
-    shard, blobs = None, []
+                    held[words] = [gram, int.from_bytes(hashlib.blake2b(words, digest_size=4).digest(), "little") if is_hot else gram, doc, doc]
+                    size += len(words) + 300
+                elif doc < old[2]:
+                    old[2] = doc
+                elif doc > old[3]:
+                    old[3] = doc
+        if size > HELD:
+            yield from sent()
+            held, size = {}, 0
+    yield from sent()
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, first, last, bytes, offsets) of the pieces in all blobs."""
+    numbers, texts = [], []
+    for blob in blobs:
+        n = struct.unpack_from("<I", blob)[0]
+        numbers.append(np.frombuffer(blob, np.int64, 4 * n, 4).reshape(4, n))
+        texts.append(blob[4 + 32 * n :])
+    gram, first, last, size = np.concatenate(numbers, axis=1)
+    return gram, first, last, np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(size)))
+
+
+def _passages(blobs: list[bytes]) -> pa.RecordBatch:
+    """(h, words, doc): the passages of one shard's pieces, each once a gram, and the document that each was first in."""
+    gram, first, last, data, offsets = _unpacked(blobs)
+    starts, ends, at = common.words_of(data, offsets)
+    hashes = common.word_hashes(data, starts, ends)
+    one, two = common.run_hashes(hashes, WINDOW), common.run_hashes(common.mix(common.word_hashes(data, starts, ends, 1)), WINDOW)
+    piece = np.repeat(np.arange(len(gram)), np.diff(at))[: len(one)]
+    own = np.flatnonzero(np.arange(len(one)) + WINDOW <= at[piece + 1])  # windows within their piece
+    piece, one, two = piece[own], one[own], two[own]
+    order = np.lexsort((first[piece], two, one))
+    begin = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
+    edge = np.flatnonzero(begin)
+    group = np.cumsum(begin) - 1
+    least, most = first[piece[order]][edge], np.maximum.reduceat(last[piece[order]], edge)
+    doc = np.empty(len(own), np.int64)
+    doc[order] = np.where(most > least, least, -1 - repeats.LAST)[group]  # the least number there is: one document alone holds it
+    some = np.flatnonzero(doc != -1 - repeats.LAST)
+    own, piece, doc = own[some], piece[some], doc[some]
+    new = np.concatenate(([True], (piece[1:] != piece[:-1]) | (own[1:] != own[:-1] + 1) | (doc[1:] != doc[:-1]))) if len(own) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    end = np.concatenate((begin[1:], [len(own)])) - 1 if len(begin) else begin
+    raw = data.tobytes()
+    words = [raw[a:b] for a, b in zip(starts[own[begin]].tolist(), ends[own[end] + WINDOW - 1].tolist(), strict=True)]
+    found = dict.fromkeys(zip(gram[piece[begin]].tolist(), words, doc[begin].tolist(), strict=True))
+    cols = list(zip(*found, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], names=["h", "words", "doc"])
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, blob) come sorted by shard."""
     whole = zstandard.ZstdDecompressor().decompress
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        found = list(resolve(blobs)) if blobs else []
-        for i in range(0, len(found), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[i : i + 20_000], strict=True)], names=names)
-
+    shard, blobs = None, []
     for batch in batches:
         for now, blob in common.record_batches(batch):
             if now != shard:
-                yield from rows()
+                if blobs:
+                    yield _passages(blobs)
                 shard, blobs = now, []
             blobs.append(whole(blob))
-    yield from rows()
+    if blobs:
+        yield _passages(blobs)
+
+
+def confirmed(documents: DataFrame) -> tuple[DataFrame, str]:
+    """(docs, path): keyed docs (block, row, doc_id, text) and the passages (row, words, doc) of each GRAIN rows, by block."""
+    spark = documents.sparkSession
+    parts = common.shuffle_partitions(spark)
+    docs = keyed(documents, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    path, count, _ = repeats.recurring(docs, SCHEME)
+    shards = max(parts, count // SHARD)
+    sent = common.written(docs.mapInArrow(lambda it: _collected(it, path, shards), "shard int, blob binary"), "pieces")
+    found = sent.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_confirmed, "h long, words binary, doc long")
+    found = common.written(found, "passages")
+    held = spark.read.schema("row long, h long, hot boolean, block long").parquet(path).select("block", "row", "h")
+    return docs, by_block(held.join(found, "h").select("block", "row", "words", "doc"), "passages")
+
+
+class Automaton:
+    """Passages compiled to an automaton over numbers of their words."""
+
+    def __init__(self, passages: dict[bytes, int]) -> None:
+        self.number: dict[bytes, int] = {}
+        number = self.number
+        self.match = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        sizes = []
+        for i, words in enumerate(passages):
+            key = tuple([number.setdefault(w, len(number) + 1) for w in words.split(b" ")])  # 0: a word of no passage
+            sizes.append(len(key))
+            self.match.add_word(key, i)
+        self.match.make_automaton()
+        self.sizes, self.first = np.array(sizes), np.array(list(passages.values()), np.int64)
+
+    def located(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, first document) of every occurrence of a passage in the words; end is the last word."""
+        get = self.number.get
+        found = list(self.match.iter(tuple([get(w, 0) for w in words])))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        end, i = np.array(found, np.int64).T
+        return end - self.sizes[i] + 1, end, self.first[i]
+
+
+class Shards:
+    """The automata of one group of rows after another; they are kept while the group stays the same."""
+
+    def __init__(self) -> None:
+        self.key, self.automata = None, []
+
+    def of(self, key: tuple, table: pa.Table | None) -> Iterator[Automaton]:
+        if key != self.key:
+            passages = {} if table is None else dict(zip(table.column("words").to_pylist(), table.column("doc").to_pylist(), strict=True))
+            self.key, self.automata = key, []  # none but the first is kept: their size is bounded, their number is not
+            part: dict[bytes, int] = {}
+            size = 0
+            self.rest: list[dict[bytes, int]] = []
+            for words, doc in passages.items():
+                part[words] = doc
+                size += words.count(b" ") + 1
+                if size >= AUTOMATON:
+                    self.rest.append(part)
+                    part, size = {}, 0
+            if self.rest:
+                self.rest.append(part)
+            elif part:
+                self.automata = [Automaton(part)]
+        yield from self.automata
+        for part in self.rest:
+            if part:
+                yield Automaton(part)
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[list[bytes]], list[np.ndarray]]]:
+    """(batch, words of each text, which of them go) of keyed batches, in groups of GRAIN rows."""
+    shards = Shards()
+    for whole, found in located(batches, path, GRAIN):
+        rows = whole.column("row").to_numpy() // GRAIN * GRAIN
+        edge = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1], [True]))).tolist()
+        own = None if found is None else found.column("row").to_numpy()
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            batch = whole.slice(i, j - i)
+            key = batch.column("block")[0].as_py(), int(rows[i])
+            texts = [(t or "").encode("utf-8", "surrogatepass").split() for t in batch.column("text").to_pylist()]
+            docs = [repeats.LAST if d is None else d for d in batch.column("doc_id").to_pylist()]
+            edges = [None] * len(texts)
+            table = None if own is None or key == shards.key else found.filter(pa.array(own == key[1]))
+            for automaton in shards.of(key, table):
+                for k, (words, doc) in enumerate(zip(texts, docs, strict=True)):
+                    if len(words) >= WINDOW:
+                        begin, end, first = automaton.located(words)
+                        late = first < doc
+                        if late.any():
+                            if edges[k] is None:
+                                edges[k] = np.zeros(len(words) + 1, np.int64)
+                            np.add.at(edges[k], begin[late], 1)
+                            np.add.at(edges[k], end[late] + 1, -1)
+            yield batch, texts, [None if e is None else np.cumsum(e[:-1]) > 0 for e in edges]
+
+
+def _kept(words: list[bytes], gone: np.ndarray | None) -> bytes:
+    return b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+
+
+def _last_scan(documents: DataFrame, columns: Callable, schema: str) -> DataFrame:
+    docs, path = confirmed(documents)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts, gone in _streamed(batches, path):
+            yield pa.RecordBatch.from_pydict(columns(batch, texts, gone))
 
-def _removed(documents: DataFrame) -> tuple[DataFrame, str]:
-    return repeats.removed(documents, SCHEME, lambda it: by_shard(it, _located), "doc_id")
+    return docs.mapInArrow(run, schema)
 
 
 def digests(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256."""
-    docs, path = _removed(documents)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for _, (_, doc_id, text), ranges in with_findings(batches, path, repeats.ranges_of):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            gone = 0
-            if ranges:
-                mask = repeats.covered(len(words), ranges, WINDOW)
-                gone = int(mask.sum())
-                words, n = [w for w, m in zip(words, mask.tolist(), strict=True) if not m], len(words)
-            else:
-                n = len(words)
-            out.append((doc_id, n, gone, hashlib.sha256(b" ".join(words)).hexdigest()))
-            if len(out) == 5000:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        c = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    def columns(batch: pa.RecordBatch, texts: list, gone: list) -> dict:
+        return {
+            "doc_id": batch.column("doc_id"), "n_words": pa.array(list(map(len, texts)), pa.int64()), "n_removed": pa.array([0 if g is None else int(g.sum()) for g in gone], pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(_kept(w, g)).hexdigest() for w, g in zip(texts, gone, strict=True)], pa.string()),
+        }
+
+    return _last_scan(documents, columns, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """(doc_id, text): the texts without the words to remove, kept words joined by one space; untouched texts as they are."""
-    docs, path = _removed(documents)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (_, doc_id, text), ranges in with_findings(batches, path, repeats.ranges_of):
-            if ranges:
-                words = text.encode("utf-8", "surrogatepass").split()
-                mask = repeats.covered(len(words), ranges, WINDOW).tolist()
-                text = b" ".join([w for w, m in zip(words, mask, strict=True) if not m]).decode("utf-8", "surrogatepass")
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([text], pa.string())], names=["doc_id", "text"])
-
-    return docs.mapInArrow(run, "doc_id long, text string")
+    def columns(batch: pa.RecordBatch, texts: list, gone: list) -> dict:
+        kept = [t if g is None else _kept(w, g).decode("utf-8", "surrogatepass") for t, w, g in zip(batch.column("text").to_pylist(), texts, gone, strict=True)]
+        return {"doc_id": batch.column("doc_id"), "text": pa.array(kept, pa.string())}
+
+    return _last_scan(documents, columns, "doc_id long, text string")
 
 
 SQL = r"""

@@ -1,17 +1,18 @@
 """Toxicity scores: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
 The lexicon is learned too, so it holds for any language that the labels cover: words, and beginnings of words, that are
-far more frequent in texts labelled toxic. Labelled rows fall into three parts by a hash of doc_id: one gives the
-lexicon (by distributed counts), one the trees and one the calibration, so no part judges what it has seen; under FEW
-labelled rows would be too few for parts, and all serve for all three. The last two
-are a sample of at most TRAIN_ROWS rows, the first of LEXICON_ROWS; lexicon and model are of bounded size and broadcast.
+far more frequent in texts labelled toxic. Labelled rows, a sample of at most ROWS, are dealt to FOLDS folds by a hash of
+doc_id and everything is cross-fitted, at every size alike: a row's features come from a lexicon of the other folds, and
+its margin, for the calibration, from trees of the other folds. The model that scores has the lexicon and the trees of
+all folds. Lexicon and model are of bounded size and broadcast.
 
 Features, all from the text alone: densities of lexicon words and their weights, how near a second-person pronoun stands
 to one, capitals, punctuation, digits, obfuscated and elongated words, and length.
 
 Defined cases: a null text counts as empty and gets a score like any other; labels that are null or without doc_id are
 ignored, repeated ones count once, contradicting ones each. Without labels of both kinds all scores are 0. Rows are
-scored one by one, so repeated rows get equal scores. Extra columns are ignored.
+scored one by one, so repeated rows get equal scores; an empty table gives none. Texts of any length are scored whole, in
+memory that follows the text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quarry.llm import common
 
-TRAIN_ROWS, LEXICON_ROWS, LEXICON, FEW = 20_000, 20_000, 4096, 2000
+ROWS, LEXICON, FOLDS = 30_000, 4096, 3
 #: A lexicon entry occurs in at least so many toxic texts, and is so much more frequent there (log).
 LEAST_TEXTS, LEAST_WEIGHT, STRONG = 3, 1.0, 3.0
 PREFIXES = (4, 5, 6)
@@ -73,9 +74,8 @@ def entries(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def part_of(doc_id: int) -> int:
-    """0 lexicon, 1 trees, 2 calibration."""
-    return (0, 0, 0, 1, 1, 2)[zlib.crc32(f"part {doc_id}".encode()) % 6]
+def fold_of(doc_id: int) -> int:
+    return zlib.crc32(f"fold {doc_id}".encode()) % FOLDS
 
 
 class Features:
@@ -224,77 +224,93 @@ def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def _labelled(labels: DataFrame, rows: int, parts: tuple[int, ...]) -> DataFrame:
-    """(doc_id, toxic) of at most `rows` labels of the parts, the first by a hash of doc_id."""
-    part = F.element_at(F.array(*(F.lit(p) for p in (0, 0, 0, 1, 1, 2))), (F.crc32(F.concat(F.lit("part "), F.col("doc_id").cast("string")).cast("binary")) % 6 + 1).cast("int"))
+def _labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, fold) of at most ROWS labels, the first by a hash of doc_id."""
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
-    return known.where(~held_out(F.col("doc_id"))).withColumn("part", part).where(F.col("part").isin(*parts)).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
+    fold = (F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string")).cast("binary")) % FOLDS).cast("int")
+    return known.where(~held_out(F.col("doc_id"))).withColumn("fold", fold).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(ROWS)
 
 
 def _texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels), "doc_id")  # labels: a bounded sample
 
 
-def learn_lexicon(documents: DataFrame, labels: DataFrame, parts: tuple[int, ...] = (0,)) -> dict[str, float]:
-    """Entries by weight: the log ratio of an entry's share of toxic texts to its share of others, above LEAST_WEIGHT."""
+def learn_lexicons(documents: DataFrame, labels: DataFrame) -> list[dict[str, float]]:
+    """Lexicons without each fold in turn, then of all. Entries by weight: the log ratio of an entry's share of toxic texts
+    to its share of others, above LEAST_WEIGHT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, toxic in common.record_batches(batch):
+            for text, toxic, fold in common.record_batches(batch):
                 words = {plain(t)[0] for t in (text or "").split()}
                 found = sorted({e for w in words if w for e in entries(w)} | {""})
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([int(toxic > 0)] * len(found), pa.int32())], names=["entry", "toxic"])
+                kind = 2 * fold + int(toxic > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([kind] * len(found), pa.int32())], names=["entry", "kind"])
 
-    some = _texts(documents, _labelled(labels, LEXICON_ROWS, parts)).select("text", "toxic")
-    counts = some.mapInArrow(run, "entry string, toxic int").groupBy("entry").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    counts = common.written(counts.where((F.col("bad") >= LEAST_TEXTS) | (F.col("entry") == "")), "lexicon")
+    counts = _texts(documents, labels).select("text", "toxic", "fold").mapInArrow(run, "entry string, kind int").groupBy("entry")
+    counts = counts.agg(*(F.sum((F.col("kind") == 2 * f + bad).cast("long")).alias(f"{'bad' if bad else 'good'}{f}") for f in range(FOLDS) for bad in (0, 1)))
+    every = sum((F.col(f"bad{f}") for f in range(FOLDS)), F.lit(0))
+    counts = common.written(counts.where((every >= LEAST_TEXTS) | (F.col("entry") == "")), "lexicon")
     total = counts.where("entry = ''").first()
-    if total is None or not total["bad"] or not total["good"]:
-        return {}
-    weight = F.log((F.col("bad") + 0.5) / (total["bad"] + 1)) - F.log((F.col("good") + 0.5) / (total["good"] + 1))
-    top = counts.where("entry <> ''").select("entry", "bad", weight.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
-    return {r["entry"]: r["weight"] for r in top.orderBy(F.desc(F.col("bad") * F.col("weight")), "entry").limit(LEXICON).collect()}
+    out = []
+    for without in (*range(FOLDS), None):
+        folds = [f for f in range(FOLDS) if f != without]
+        bad_all, good_all = (0 if total is None else sum(total[f"{c}{f}"] for f in folds) for c in ("bad", "good"))
+        if not bad_all or not good_all:
+            out.append({})
+            continue
+        bad, good = (sum((F.col(f"{c}{f}") for f in folds), F.lit(0)) for c in ("bad", "good"))
+        weight = F.log((bad + 0.5) / (bad_all + 1)) - F.log((good + 0.5) / (good_all + 1))
+        top = counts.where("entry <> ''").select("entry", bad.alias("bad"), weight.alias("weight")).where((F.col("bad") >= LEAST_TEXTS) & (F.col("weight") >= LEAST_WEIGHT))
+        out.append({r["entry"]: r["weight"] for r in top.orderBy(F.desc(F.col("bad") * F.col("weight")), "entry").limit(LEXICON).collect()})
+    return out
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    few = _labelled(labels, FEW, (0, 1, 2)).count() < FEW
-    lexicon = learn_lexicon(documents, labels, (0, 1, 2) if few else (0,))
-    kept = documents.sparkSession.sparkContext.broadcast(lexicon)
+    spark = documents.sparkSession
+    common.bound_batches(spark)
+    labels = common.written(_labelled(labels), "labelled")
+    lexicons = learn_lexicons(documents, labels)
+    kept = spark.sparkContext.broadcast(lexicons)  # FOLDS + 1 times LEXICON entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(kept.value)
+        features = [Features(x) for x in kept.value[:-1]]  # a row's own fold has no part in its features
         for batch in batches:
-            rows = [features.row(t or "").tolist() for t in batch.column("text").to_pylist()]
+            rows = [features[f].row(t or "").tolist() for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
-    some = _texts(documents, _labelled(labels, TRAIN_ROWS, (0, 1, 2) if few else (1, 2))).select("doc_id", "text", "toxic")
-    rows = some.mapInArrow(run, "doc_id long, toxic int, x array<double>").collect()  # TRAIN_ROWS times FEATURES numbers at most, but for repeated ids
+    some = _texts(documents, labels).select("doc_id", "text", "toxic", "fold").mapInArrow(run, "doc_id long, toxic int, x array<double>")
+    rows = some.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "toxic").limit(ROWS).collect()  # repeated ids may give more rows than labels
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["x"]))
-    part = np.array([part_of(r["doc_id"]) for r in rows])
+    fold = np.array([fold_of(r["doc_id"]) for r in rows])
     x, y = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([float(r["toxic"] > 0) for r in rows])
-    trees, check = (part >= 0, part >= 0) if few else (part == 1, part == 2)
-    if len(np.unique(y[trees])) < 2:
-        return Model(lexicon, None, None)
-    boosted = Boosted().fit(x[trees], y[trees])
-    if len(np.unique(y[check])) < 2:  # too few rows to calibrate on their own
-        check = trees
-    return Model(lexicon, boosted, isotonic(boosted.margin(x[check]), y[check]))
+    if len(np.unique(y)) < 2:
+        return Model(lexicons[-1], None, None)
+    margin = np.zeros(len(y))
+    for f in range(FOLDS):
+        own, others = fold == f, fold != f
+        if own.any():  # without both labels in the other folds their rate alone is the margin
+            margin[own] = Boosted().fit(x[others], y[others]).margin(x[own]) if others.any() else 0.0
+    return Model(lexicons[-1], Boosted().fit(x, y), isotonic(margin, y))
 
 
 def scored(documents: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """The columns, then score (0 to 1) and predicted (1 if score >= THRESHOLD) of each row's text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries and the trees
+    """The columns, then score (0 to 1) and predicted (1 if score >= THRESHOLD) of each row's text. A text goes to Python once."""
+    spark = documents.sparkSession
+    common.bound_batches(spark)
+    shared = spark.sparkContext.broadcast(model)  # at most LEXICON entries and the trees
     own = documents.select(*(F.col(f"`{c}`") for c in columns))
+    sent = own if "text" in columns else documents.select(*(F.col(f"`{c}`") for c in columns), "text")
+    at = sent.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(shared.value.lexicon)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            x = np.array([features.row(t or "") for t in texts]).reshape(-1, len(FEATURES))
+            x = np.array([features.row(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             score = shared.value.scores(x)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*columns, "score", "predicted"])
 
-    return documents.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("__text")).mapInArrow(run, own.schema.add("score", DoubleType()).add("predicted", IntegerType()))
+    return sent.mapInArrow(run, StructType([*own.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

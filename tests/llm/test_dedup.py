@@ -102,10 +102,12 @@ def test_chunks_of_long_texts(monkeypatch):
     import numpy as np
 
     grams = np.random.default_rng(1).integers(0, 50, 400).astype(np.uint64) << np.uint64(40)
+    valid = np.ones(392, bool)
+    valid[100:108] = False  # where two texts meet
     owner = lambda r: {q: p for p, a, b in zip(*r, strict=True) for q in range(a, b + 1)}
-    whole = owner(repeats.anchors(grams, 9))
+    whole = owner(repeats.anchors(grams, 9, valid))
     monkeypatch.setattr(repeats, "CHUNK", 37)
-    assert owner(repeats.anchors(grams, 9)) == whole and len(whole) == 392
+    assert owner(repeats.anchors(grams, 9, valid)) == whole and len(whole) == 384
 
 
 def test_loser_tree():

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import jaccard_join as op
@@ -68,17 +70,73 @@ def test_against_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute(docs), key=str)
 
 
-def test_matches_asked_for(spark, monkeypatch):
-    """Longer prefixes must lose no link: every set asks for its most matches."""
-    monkeypatch.setattr(op, "VERIFY", 10**9)
-    docs = corpus(3, 120)
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    assert sorted(map(tuple, op.jaccard_components(d, 5, 80).collect())) == sorted(brute(docs, 5, 80))
+def links(docs, k, percent):
+    sets = {frozenset(shingles(t, k)) for _, t in docs} - {frozenset()}
+    return sets, {frozenset((a, b)) for a in sets for b in sets if a != b and 100 * len(a & b) >= percent * len(a | b)}
+
+
+@pytest.mark.parametrize(("long", "frequent"), [(1024, 0.0), (1024, 1000.0), (3, 0.0), (2, 1000.0)])
+def test_candidates_lose_no_link(monkeypatch, long, frequent):
+    """Every linking pair of classes is a candidate: whatever matches sets ask for, in runs of any length, by small batches."""
+    monkeypatch.setattr(op, "LONG", long)
+    docs = corpus(3, 150)
+    sets, want = links(docs, 5, 80)
+    texts = {frozenset(shingles(t, 5)): t for _, t in docs}
+    rows, name, bits = [], {}, {}
+    for s in sets:
+        tokens = next(op.shingle_sets(pa.array([texts[s]]), 5))
+        f = op.fingerprint(tokens)
+        name[f], bits[f] = s, op.folded(op.bitmap(tokens))
+        place, match = op.prefix(tokens, np.full(op.BUCKETS, frequent), 80)
+        assert match == (1 if frequent == 0 else min(op.MOST, -(-80 * len(tokens) // 100)))
+        rows += [(int(t), *f, len(tokens), 8 * i + match) for i, t in enumerate(place.view(np.int64).tolist())]
+    rows.sort(key=lambda r: (r[0], r[3], r[1], r[2]))
+    kinds = {"token": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "n": pa.int32(), "at": pa.int32()}
+    post = [pa.RecordBatch.from_pydict({c: pa.array([r[j] for r in rows[i : i + 7]], t) for j, (c, t) in enumerate(kinds.items())}) for i in range(0, len(rows), 7)]
+    shared = [r for b in op._shared(iter(post), 80) for r in b.to_pylist()]
+    own = sorted((r for r in shared if r["kind"] == 0), key=lambda r: (r["token"], r["cell"], r["role"], r["n"], r["f1"], r["f2"]))
+    order = {f: i for i, f in enumerate(name)}
+    kinds |= {"cell": pa.int32(), "role": pa.int32(), "comp": pa.int64(), "bits": pa.binary()}
+    full = [r | {"comp": order[r["f1"], r["f2"]], "bits": bits[r["f1"], r["f2"]]} for r in own]
+    dealt = [pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in full[i : i + 5]], t) for c, t in kinds.items()}) for i in range(0, len(full), 5)]
+    met = {}
+    for r in (r for b in op._crossed(iter(dealt), 80) for r in b.to_pylist()):
+        pair = frozenset((name[r["a1"], r["a2"]], name[r["b1"], r["b2"]]))
+        assert len(pair) == 2 and met.get(pair, (0, r["need"]))[1] == r["need"]
+        met[pair] = met.get(pair, (0, 0))[0] + 1, r["need"]
+    got = {p for p, (n, need) in met.items() if n >= need}
+    assert len(want) > 50 and want <= got
+    if long < 10:
+        assert max(r["cell"] for r in own) > 2
+    stars = [r for r in shared if r["kind"] == 1]
+    assert stars and len(stars) <= 2 * len(own)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [16, 64, 1024, 2048, 4096])
+def test_structured_words_do_not_collide(n):
+    a, b = thue_morse(n)
+    one, two = op.shingle_sets(pa.array([a, b]), 3)
+    assert one.tolist() != two.tolist()
+
+
+def test_structured_words_do_not_link(spark):
+    rows = [(2 * i + j, w) for i, n in enumerate((1024, 2048, 4096)) for j, w in enumerate(thue_morse(n))]
+    got = op.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(i, 1, i) for i in range(6)]
+
+
+def test_long_text_and_hot_shingle(spark):
+    """One text of 10 MB, and a shingle that many unlinked texts hold."""
+    rows = [(i, f"all of them {i} x{i} y{i}") for i in range(3000)] + [(9000, "long text here " * 700_000), (9001, "long text here " * 9)]
+    got = {r["doc_id"]: r["component_id"] for r in op.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(3000)} | {9000: 9000, 9001: 9000 if shingles("long text here " * 9, 3) == shingles("long text here " * 4, 3) else 9001}
 
 
 def test_prefixes_lengthen_with_frequency():
-    import numpy as np
-
     tokens = np.arange(100, dtype=np.uint64) << np.uint64(46)
     rare, frequent = np.zeros(op.BUCKETS), np.zeros(op.BUCKETS)
     frequent[:100] = 1000.0

@@ -41,17 +41,31 @@ def test_without_labels(spark):
     assert op.toxicity(d.limit(0), spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")).count() == 0
 
 
-def test_parts_agree(spark):
-    d = spark.range(200).selectExpr("id AS doc_id", "1 AS toxic")
+def test_folds_agree(spark):
     from pyspark.sql import functions as F
 
-    parts = {p: {r["doc_id"] for r in op._labelled(d, 1000, (p,)).collect()} for p in (0, 1, 2)}
-    for i in range(200):
-        learn = zlib.crc32(str(i).encode()) % 3 != 1
-        assert [i in parts[p] for p in (0, 1, 2)] == [learn and op.part_of(i) == p for p in (0, 1, 2)]
+    d = spark.range(200).selectExpr("id AS doc_id", "1 AS toxic")
+    got = {r["doc_id"]: r["fold"] for r in op._labelled(d).collect()}
+    assert got == {i: op.fold_of(i) for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1}
     assert d.where(op.held_out(F.col("doc_id"))).count() == sum(zlib.crc32(str(i).encode()) % 3 == 1 for i in range(200))
 
 
+def test_one_rule_at_every_size(spark):
+    """With one label more the scores move a little, wherever the number of labels stands."""
+    rows = [(i, f"you are an idiot number {i} and a moron" if i % 3 == 0 else f"a fine day number {i} for all of us") for i in range(2400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    few = [r["score"] for r in op.toxicity(d, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")).orderBy("doc_id").collect()]
+    many = [r["score"] for r in op.toxicity(d, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(2400)], "doc_id long, toxic int")).orderBy("doc_id").collect()]
+    assert max(abs(a - b) for a, b in zip(few, many, strict=True)) < 0.1
+
+
+def test_columns_and_text_once(spark):
+    d = spark.createDataFrame([(1, "you idiot", 7), (2, None, 8)], "doc_id long, text string, row int")
+    model = op.Model({}, None, None)
+    assert [tuple(r) for r in op.scored(d, model, "row", "text").orderBy("row").collect()] == [(7, "you idiot", 0.0, 0), (8, None, 0.0, 0)]
+    assert op.scored(d, model, "row", "text")._jdf.queryExecution().optimizedPlan().toString().count("text#") < 6
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((2000, 4))
