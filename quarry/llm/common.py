@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Broadcast sides stay below this many rows; beyond it the operators shuffle instead.
-BROADCAST_ROWS = 2_000_000
+#: Broadcast sides stay below these; beyond them the operators shuffle instead.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 #: Bytes of an Arrow batch that Python gets at once, unless the session says otherwise. One row can be longer.
 BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -62,6 +62,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, width: Column | None = None) -> bool:
+    """Whether a written table may be broadcast: rows and, where given, the bytes that `width` sums up are within bounds."""
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(width if width is not None else F.lit(0)), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,8 +1,12 @@
 """Benchmark decontamination, native: a broadcast hash set of benchmark n-grams against every token window of the corpus.
 
 A document is one row; repeated rows and rows with null or repeated ids are documents of their own. Null and empty
-texts have no words and are clean. An item with a null id takes no part; items that share an id count once. An empty
-benchmark leaves every document clean. Columns are picked by name, so extra columns never clash.
+texts have no words and are clean; texts of any length are scanned whole. Items that share an id count once; those with a
+null id are such items too, and stand in the list of items as the empty string. An empty benchmark leaves every document
+clean, and a table without documents gives none. Columns are picked by name, so extra columns never clash.
+
+The set is broadcast while it has at most BROADCAST_ROWS windows (counted first). A larger one is joined by shuffling
+keys: two 64-bit hashes of each window with its place, never the words of a text.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import common
+from quarry.llm.aligned import is_scan, keyed
 from quarry.llm.common import BROADCAST_ROWS, lower_ascii, text_of
 
 N = 10
@@ -22,45 +28,57 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text_of(text)), F.lit(WORD), F.lit(0))
 
 
-def _hash(array: str, position: Column, length: int) -> Column:
-    return F.xxhash64(F.lit(length), *(F.get(F.col(array), position + i) for i in range(length)))
+def _hash(array: str, position: Column, length: Column | int, lengths: list[int], seed: int = 0) -> Column:
+    """A hash of `length` words from the position on; lengths: what `length` may be."""
+    one = lambda k: F.xxhash64(F.lit(k + 1000 * seed), *(F.get(F.col(array), position + i) for i in range(k)))
+    if isinstance(length, int):
+        return one(length)
+    return reduce(lambda e, k: e.when(length == k, one(k)), lengths[1:], F.when(length == lengths[0], one(lengths[0])))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """(key, len, gram, items): each distinct window of n words, or a shorter item's own words, with the items that hold it."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
+    """(key, key2, len, gram, items): each distinct window of n words, or a shorter item's own words, with the items that hold it."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w"))
     items = items.where(F.size("w") > 0).withColumn("len", F.least(F.size("w"), F.lit(n)))
     at = items.select("item", "len", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("pos"))
     grams = at.select("item", "len", F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("len")).alias("gram"))
     grams = grams.groupBy("len", "gram").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    key = reduce(lambda e, k: e.when(F.col("len") == k, _hash("gram", F.lit(0), k)), range(2, n + 1), F.when(F.col("len") == 1, _hash("gram", F.lit(0), 1)))
-    return grams.withColumn("key", key)
+    key = lambda seed: _hash("gram", F.lit(0), F.col("len"), list(range(1, n + 1)), seed)
+    return grams.withColumn("key", key(0)).withColumn("key2", key(1))
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """For each row of documents (row, doc_id, n_words) and hits, an array of (pos, len, items) of its contaminated windows.
+    """For each row of documents (block, row, doc_id, n_words) and hits, an array of (pos, len, items) of its contaminated
+    windows; block and row are its key as `aligned.keyed` gives it.
 
-    One pass over the texts. Each document gives one row of its own (position -1) and one for each window; a broadcast
-    hash join on 64-bit keys keeps the windows that the benchmark may hold, and comparing the words confirms them, so a
-    shared key never counts. Only confirmed windows and one short row a document are shuffled.
+    One pass over the texts, for all lengths of windows. Each document gives one row of its own (position -1) and one for
+    each window; a broadcast hash join on 64-bit keys keeps the windows that the benchmark may hold, and comparing the
+    words confirms them, so a shared key never counts. Only confirmed windows and one short row a document are shuffled.
     """
-    grams = benchmark_windows(benchmark, n)
+    grams = common.written(benchmark_windows(benchmark, n), "grams")
     sizes = {r["len"]: r["rows"] for r in grams.groupBy("len").agg(F.count("*").alias("rows")).collect()}  # n rows at most
-    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), words(F.col("text")).alias("w"))
-    size = F.size("w")
-    found = None
-    for length in sorted(sizes) or [n]:
-        last = F.greatest(size - length, F.lit(-1))
-        at = docs.select("row", "doc_id", "w", F.explode_outer(F.sequence(F.lit(-1), last)).alias("pos"))
-        at = at.select("row", "doc_id", "w", size.alias("n_words"), "pos", F.when(F.col("pos") >= 0, _hash("w", F.col("pos"), length)).alias("key"))
-        own = grams.where(F.col("len") == length).select("key", "gram", "items")
-        if sum(sizes.values()) <= BROADCAST_ROWS:
-            own = F.broadcast(own)  # its size has just been counted
-        hit = at.join(own, (at["key"] == own["key"]) & (F.slice(at["w"], F.greatest(at["pos"], F.lit(0)) + 1, length) == own["gram"]), "left")
-        hit = hit.where((F.col("pos") < 0) | F.col("items").isNotNull())
-        hit = hit.select("row", "doc_id", F.col("n_words").cast("long"), F.when(F.col("pos") >= 0, F.struct("pos", F.lit(length).alias("len"), "items")).alias("hit"))
-        found = hit if found is None else found.unionByName(hit)
-    return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hit").alias("hits"))
+    lengths = sorted(sizes) or [n]
+    docs = keyed(documents, F.col("doc_id"), words(F.col("text")).alias("w"))
+    own = ["block", "row", "doc_id"]
+    at = docs.select(*own, "w", F.explode_outer(F.sequence(F.lit(-1), F.greatest(F.size("w") - lengths[0], F.lit(-1)))).alias("pos"))
+    length: Column | int = lengths[0]
+    if len(lengths) > 1:
+        fits = F.filter(F.array(*map(F.lit, lengths)), lambda k: (F.col("pos") < 0) & (k == lengths[0]) | (F.col("pos") >= 0) & (F.col("pos") + k <= F.size("w")))
+        at, length = at.withColumn("len", F.explode(fits)), F.col("len")
+    else:
+        at = at.withColumn("len", F.lit(length))
+    hit = F.when(F.col("pos") >= 0, F.struct("pos", "len", "items")).alias("hit")
+    n_words = F.size("w").cast("long").alias("n_words")
+    if sum(sizes.values()) <= BROADCAST_ROWS:
+        at = at.withColumn("key", F.when(F.col("pos") >= 0, _hash("w", F.col("pos"), length, lengths)))
+        known = F.broadcast(grams.select(F.col("len").alias("k"), "key", "gram", "items"))  # its size has just been counted
+        found = at.join(known, (at["key"] == known["key"]) & (F.col("len") == F.col("k")) & (F.slice(at["w"], F.greatest(at["pos"], F.lit(0)) + 1, F.col("len")) == F.col("gram")), "left")
+        found = found.where((F.col("pos") < 0) | F.col("items").isNotNull()).select(*own, n_words, hit)
+    else:
+        keys = at.where("pos >= 0").select(*own, "pos", "len", *(_hash("w", F.col("pos"), length, lengths, i).alias(k) for i, k in enumerate(("key", "key2"))))
+        found = keys.join(grams.select("len", "key", "key2", "items"), ["len", "key", "key2"]).select(*own, F.lit(None).cast("long").alias("n_words"), hit)
+        found = docs.select(*own, n_words, F.lit(None).cast(found.schema["hit"].dataType).alias("hit")).unionByName(found)
+    return found.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hit").alias("hits"))
 
 
 def _covered() -> Column:
@@ -85,11 +103,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = N, remove
     """
     if remove not in ("spans", "documents"):
         raise ValueError(f"remove is 'spans' or 'documents', not {remove!r}")
-    rows = documents.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__doc"))
-    found = hits(documents, benchmark, n).where(F.size("hits") > 0).select(F.col("row").alias("__row"), _covered().alias("__hit"))
+    documents = documents if is_scan(documents) else common.written(documents, "input")
+    rows = keyed(documents, F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__doc"))
+    found = common.written(hits(documents, benchmark, n).where(F.size("hits") > 0).select("block", "row", _covered().alias("__hit")), "hits")
+    if common.small(found, F.size("__hit") * 4):  # else texts are shuffled, beside the many findings
+        found = F.broadcast(found)
     if remove == "documents":
-        return rows.join(found, "__row", "left_anti").select("__doc.*")
-    both = rows.join(found, "__row", "left")
+        return rows.join(found, ["block", "row"], "left_anti").select("__doc.*")
+    both = rows.join(found, ["block", "row"], "left")
     # The text in pieces, each a word and what stands before it, then what follows the last word.
     text = text_of(F.col("__doc.text"))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # A-Z are letters here: this text isn't lower-cased
@@ -110,8 +131,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = N, remove
 
 SQL = r"""
 WITH b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
 g AS (
   SELECT DISTINCT item, least(len(w), 10) AS l, w[p : p + least(len(w), 10) - 1] AS gram
   FROM (SELECT item, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS p FROM b WHERE len(w) > 0)),

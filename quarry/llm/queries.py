@@ -25,7 +25,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read(warc.write(read(spark, sf_dir, "pages"), new_path(spark, "warc"))).drop("html")
+    return warc.read(warc.write(read(spark, sf_dir, "pages"), new_path(spark, "warc"), "2024-01-01T00:00:00Z")).drop("html")
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

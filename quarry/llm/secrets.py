@@ -26,8 +26,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.aligned import keyed
-from quarry.llm.common import text_of
+from quarry.llm.aligned import is_scan, keyed
+from quarry.llm.common import small, text_of, written
 
 TREES, DEPTH, SEED = 40, 8, 11
 THRESHOLD = 0.5
@@ -120,7 +120,7 @@ def _pem(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def _is_candidate(value: Column, named: Column) -> Column:
-    return value.rlike(f"^(?:{KNOWN})") | value.rlike(MIXED) | ((F.octet_length(value) >= 8) & named.rlike(_any(SECRET_WORDS)) & value.rlike("[0-9]|[a-z][A-Z]"))
+    return value.rlike(f"^(?:{KNOWN})") | value.rlike(MIXED) | ((F.octet_length(value) >= 8) & named.rlike(_any(SECRET_WORDS)))
 
 
 def candidates(documents: DataFrame, path: str | None = None, *columns: str) -> DataFrame:
@@ -187,6 +187,7 @@ def example_findings(spark: SparkSession, rows: int = EXAMPLES) -> DataFrame:
         (1, F.concat(F.lit("ghp_"), base.substr(F.lit(1), F.lit(36))), w1, w2),
         (1, F.concat(F.lit("eyJhbGciOi"), base.substr(F.lit(1), F.lit(24)), F.lit("."), base.substr(F.lit(10), F.lit(40)), F.lit("."), base.substr(F.lit(30), F.lit(30))), F.lit("Bearer"), F.lit("Authorization:")),
         (1, F.concat(w1, F.initcap(w2), F.lit("!"), number), F.lit("="), F.lit("password")),
+        (1, F.concat(name, F.lit("="), w1, w2, w3, w1), w2, w3),
         (0, F.substring(digest, 1, 40), F.lit("commit"), w1),
         (0, F.concat(other, F.lit(":"), F.substring(digest, 1, 32)), w1, w2),
         (0, digest, F.lit("sha256"), w1),
@@ -233,12 +234,15 @@ def secrets(documents: DataFrame, model: PipelineModel | None = None, path: str
 def masked(documents: DataFrame, model: PipelineModel | None = None, path: str | None = None) -> DataFrame:
     """documents with MASK in place of every secret; all rows and columns stay, n_chars follows the text."""
     model = model or fit(example_findings(documents.sparkSession))
+    documents = documents if is_scan(documents) else written(documents, "input")
     docs = keyed(documents, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)))
     place = {c: f"c{i}" for i, c in enumerate(documents.columns)}
     texts = docs.select("block", "row", F.col(place["text"]).alias("text"), *([F.col(place[path]).alias("path")] if path else []))
     found = scored(candidates(texts, "path" if path else None, "block", "row"), model).where("is_secret")
     values = found.groupBy("block", "row").agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("values"))
-    both = docs.join(values, ["block", "row"], "left")
+    values = written(values, "secrets")
+    few = small(values, F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v["n"] * 4))  # else texts are shuffled, beside the many findings
+    both = docs.join(F.broadcast(values) if few else values, ["block", "row"], "left")
     new = F.when(F.col("values").isNull(), F.col(place["text"])).otherwise(F.aggregate("values", F.col(place["text"]), lambda t, v: F.replace(t, v["value"], F.lit(MASK))))
     out = []
     for c, p in place.items():

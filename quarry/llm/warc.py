@@ -10,9 +10,13 @@ shuffle, so a payload that a third of all pages share costs no more than another
 Executors write archives under names of their own attempt to the shared folder; a table that Spark commits lists the
 archives of the attempts that counted.
 
+A record's id follows from its row, so a task that runs again writes the same records, and a revisit names the record, the
+page and the target of its response, as other readers expect it.
+
 Defined cases: a null html is an empty payload; a null url gives a record without target; a null page_id counts as the
 smallest and is written without page; of repeated rows with the same page_id and payload one is the response and the
-others revisit that page_id. An empty table gives no archive. Extra columns are ignored.
+others revisit that page_id. An empty table gives no archive. Payloads of any length are written whole, in
+memory that follows them. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +29,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common
-from quarry.llm.aligned import by_block, keyed, with_findings
+from quarry.llm.aligned import by_block, file_system, keyed, with_findings
 
 LEAST = 1000
 #: An archive is closed when it has this many compressed bytes.
@@ -38,27 +41,33 @@ ARCHIVE_BYTES = 64 << 20
 DICTIONARY_BYTES, SAMPLE, SAMPLE_BYTES = 32 << 10, 400, 16 << 10
 SKIPPABLE = 0x184D2A5D
 LEVEL = 3
-DATE = "2024-01-01T00:00:00Z"
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
+def record_id(block: int, row: int) -> str:
+    """The id of the record of a row, which `aligned.keyed` names."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{block} {row}')}>"
+
+
+def _target(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None = None, date: str = DATE) -> bytes:
-    """One WARC record: a response with its payload, or a revisit of refers_to, which has the headers alone."""
+def record(id_: str, date: str, page_id: int | None, url: str | None, html: str | None, of: dict | None = None) -> bytes:
+    """One WARC record: a response with its payload, or a revisit of another (block, row, page_id, url), which has the headers alone."""
     payload = (html or "").encode("utf-8", "surrogatepass")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if of is None else 'revisit'}", f"WARC-Record-ID: {id_}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append(f"WARC-Target-URI: {_target(url)}")
     head += [f"WARC-Payload-Digest: sha1:{hashlib.sha1(payload).hexdigest()}", f"WARC-Payload-Length: {len(payload)}"]
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
-    if refers_to is None:
+    if of is None:
         block += payload
     else:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(of['block'], of['row'])}", f"WARC-Refers-To-Date: {date}"]
+        head += [] if of["url"] is None else [f"WARC-Refers-To-Target-URI: {_target(of['url'])}"]
+        head += [] if of["page_id"] is None else [f"WARC-Refers-To-Page-ID: {of['page_id']}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -71,22 +80,22 @@ def dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
         return b"".join(samples)[:size]
 
 
-def _info() -> bytes:
+def _info(date: str) -> bytes:
     body = b"software: quarry\r\nformat: WARC File Format 1.1\r\n"
-    return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
 
 
 class Archive:
     """An archive being written at uri."""
 
-    def __init__(self, uri: str, words: bytes) -> None:
+    def __init__(self, uri: str, words: bytes, date: str) -> None:
         self.uri, self.records, self.bytes = uri, 0, 0
-        where, at = opened(uri)
+        where, at = file_system(uri)
         where.create_dir(at.rpartition("/")[0], recursive=True)
         self.out = where.open_output_stream(at)
         self.compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words) if words else None).compress
         self._put(struct.pack("<II", SKIPPABLE, len(words)) + words)
-        self._put(self.compress(_info()))
+        self._put(self.compress(_info(date)))
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
@@ -103,7 +112,7 @@ class Archive:
 
 def read_archive(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an archive but its warcinfo."""
-    where, at = opened(uri)
+    where, at = file_system(uri)
     with where.open_input_stream(at) as f:
         magic, size = struct.unpack("<II", f.read(8))
         if magic != SKIPPABLE:
@@ -127,28 +136,30 @@ def read_archive(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(block, row, refers_to) of the rows of keyed pages that repeat a payload of at least `least` bytes."""
+    """(block, row, of) of the rows of keyed pages that repeat a payload of at least `least` bytes; of: (page_id, block, row, url) of its response."""
     html = common.text_of("html")
-    seen = pages.where(F.octet_length(html) >= least).select("block", "row", "page_id", F.sha2(html, 256).alias("digest"))
-    first = seen.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "block", "row")).alias("of")).where("n > 1")
+    seen = pages.where(F.octet_length(html) >= least).select("block", "row", "page_id", "url", F.sha2(html, 256).alias("digest"))
+    first = seen.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "block", "row", "url")).alias("of")).where("n > 1")
     both = seen.join(first, "digest").where((F.col("block") != F.col("of.block")) | (F.col("row") != F.col("of.row")))
-    return both.select("block", "row", F.col("of.page_id").alias("refers_to"))
+    return both.select("block", "row", "of")
 
 
-def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
-    """Writes pages (page_id, url, html) as archives under folder; returns the table of archives (uri, records, bytes)."""
+def write(pages: DataFrame, folder: str, date: str, least: int = LEAST) -> DataFrame:
+    """Writes pages (page_id, url, html) as archives under folder, dated date (like 2024-01-31T12:00:00Z); returns the table
+    of archives (uri, records, bytes)."""
+    folder = common.qualified(pages.sparkSession, folder)
     docs = keyed(pages, F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"))
     path = by_block(revisits(docs, least), "revisits")
     some = pages.select("page_id", F.substring("url", 1, 2000).alias("url"), F.substring("html", 1, SAMPLE_BYTES).alias("html")).where(F.octet_length("html") > 64).limit(SAMPLE).collect()
-    words = dictionary([record(*r) for r in some])
+    words = dictionary([record(record_id(0, i), date, *r) for i, r in enumerate(some)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = lambda t: dict(zip(t.column("row").to_pylist(), t.column("refers_to").to_pylist(), strict=True))
+        index = lambda t: dict(zip(t.column("row").to_pylist(), t.column("of").to_pylist(), strict=True))
         out, done = None, []
-        for _, (_, page_id, url, html), refers_to in with_findings(batches, path, index):
+        for block, (row, page_id, url, html), of in with_findings(batches, path, index):
             if out is None:
-                out = Archive(f"{folder}/{uuid.uuid4().hex}.warc.zst", words)
-            out.add(record(page_id, url, html, refers_to))
+                out = Archive(f"{folder}/{uuid.uuid4().hex}.warc.zst", words, date)
+            out.add(record(record_id(block, row), date, page_id, url, html, of))
             if out.bytes >= ARCHIVE_BYTES:
                 done.append(out.close())
                 out = None
@@ -174,8 +185,8 @@ def read(archives: DataFrame) -> DataFrame:
                     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{uri}: a payload does not have its digest {digest}")
-                    page, to = head.get("WARC-Page-ID"), head.get("WARC-Refers-To")
-                    rows.append((None if page is None else int(page), int(head["WARC-Payload-Length"]), digest, kind, None if to is None else int(to[len("<urn:page:") : -1]), None if payload is None else payload.decode("utf-8", "surrogatepass")))
+                    page, to = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page-ID")
+                    rows.append((None if page is None else int(page), int(head["WARC-Payload-Length"]), digest, kind, None if to is None else int(to), None if payload is None else payload.decode("utf-8", "surrogatepass")))
                     held += len(block)
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)

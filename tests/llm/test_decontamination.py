@@ -15,11 +15,11 @@ def brute(documents, benchmark):
     grams = {}
     for item, text in benchmark:
         w = tokens(text)
-        if item is None or not w:
+        if not w:
             continue
         n = min(10, len(w))
         for p in range(len(w) - n + 1):
-            grams.setdefault(tuple(w[p : p + n]), set()).add(str(item))
+            grams.setdefault(tuple(w[p : p + n]), set()).add("" if item is None else str(item))
     out = []
     for doc_id, text in documents:
         w, hit, items = tokens(text), set(), set()
@@ -70,11 +70,25 @@ def test_empty_tables(spark):
 def test_removal(spark):
     d, b = frames(spark, DOCS, ITEMS)
     clean = {r["doc_id"] for r in op.decontaminate(d, b, remove="documents").collect()}
-    assert clean == {2, 3, 4, 5, 9}
+    assert clean == {3, 4, 5, 9}
     spans = op.decontaminate(d, b)
     assert spans.columns == d.columns
     texts = {r["doc_id"]: r["text"] for r in spans.collect()}
-    assert texts[1] == "Before, after. Été ÉTÉ" and texts[3] is None and texts[7] == "x, y" and texts[2] == DOCS[1][1]
+    assert texts[1] == "Before, after. Été ÉTÉ" and texts[3] is None and texts[7] == "x, y" and texts[2] == "one two three four five six seven eight"
+
+
+def test_item_without_id(spark):
+    d, b = frames(spark, [(1, PASSAGE)], [(None, PASSAGE)])
+    got = op.contamination(d, b).collect()
+    assert [(r["n_hit"], r["n_items"], r["contaminated"]) for r in got] == [(12, 1, True)]
+
+
+def test_removal_beyond_the_broadcast_bound(spark, monkeypatch):
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    d, b = frames(spark, DOCS, ITEMS)
+    assert {r["doc_id"] for r in op.decontaminate(d.repartition(3), b, remove="documents").collect()} == {3, 4, 5, 9}
 
 
 def test_native(spark):

@@ -68,6 +68,21 @@ def test_secrets_inside_a_token(spark, model):
     assert not any(s in t for t in texts for s in (AKIA, GHP, "hunter2Xk9", "k9#hu"))
 
 
+def test_plain_values_of_secret_keys(spark, model):
+    rows = [(0, "use password=correcthorsebattery now"), (1, '{"token":"' + GHP[4:] + '","x":1}'), (2, "a plain text: nothingofnote here, key words and secret gardens")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [r["text"] for r in op.masked(d, model).orderBy("doc_id").collect()]
+    assert texts == ["use password=[SECRET] now", '{"token":"[SECRET]","x":1}', rows[2][1]]
+
+
+def test_masks_beyond_the_broadcast_bound(spark, model, monkeypatch):
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    d = spark.createDataFrame([(0, TRUE[0][0]), (1, "plain"), (None, None)], "doc_id long, text string")
+    assert sorted(map(tuple, op.masked(d, model).collect()), key=str) == [(0, 'some words token = "[SECRET]" more words'), (1, "plain"), (None, None)]
+
+
 def test_long_values(spark, model):
     long = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(200)).replace("7", "Xq").replace("3", "Zw")
     rows = [(0, f"token = {long} end"), (1, '{"a":"' + "lorem," * 2000 + f'","key":"{AKIA}","b":"' + "ipsum," * 50_000 + '"}'), (2, f"password={long}")]
