@@ -205,7 +205,7 @@ def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         if not len(more):
             return
         yield own(_of(x, more), 0, 0)
-        order = np.lexsort((x["f2"], x["f1"], run))  # the centre has the least fingerprint, so it is one for most tokens of a group
+        order = np.lexsort((x["f2"], x["f1"], x["at"] // 8, run))  # the centre has the token first: few tokens of its own stand before it
         centre = order[np.flatnonzero(begins)]
         some = np.flatnonzero(count[run] > 2)
         yield from stars(_of(x, some), _of(x, centre[run[some]]))
@@ -218,10 +218,8 @@ def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 fits = np.flatnonzero(100 * most >= percent * part["n"].astype(np.int64))
                 if len(fits):
                     yield own(_of(part, fits), cell, 1)
-            here = _of(part, np.lexsort((part["f2"], part["f1"]))[:1])
-            state.centre = state.centre or here
-            for centre in (here, state.centre):
-                yield from stars(part, _of(centre, np.zeros(len(part["token"]), np.int64)))
+            state.centre = state.centre or _of(part, np.lexsort((part["f2"], part["f1"], part["at"] // 8))[:1])
+            yield from stars(part, _of(state.centre, np.zeros(len(part["token"]), np.int64)))
             state.most.append(int(part["n"].max()))
 
     held: dict[str, np.ndarray] | None = None
@@ -361,9 +359,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
 PAIRS = "a1 long, a2 long, b1 long, b2 long"
 
 
-def classes_and_links(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, links): rows (block, row, doc_id, n, f1, f2); classes (f1, f2, n, rep doc_id); links that connect
-    the classes (a1, a2, b1, b2), all verified: enough of them that every link joins two classes they connect."""
+def classes_and_edges(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, edges): rows (block, row, doc_id, n, f1, f2); classes (f1, f2, n, rep doc_id); edges (a, b) of classes
+    (f1, f2) that verified links connect: every two classes that link are connected by edges."""
     spark = documents.sparkSession
     partitions = common.shuffle_partitions(spark)
     docs = keyed(documents, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -383,8 +381,7 @@ def classes_and_links(documents: DataFrame, k: int = SHINGLE, percent: int = PER
     shared = common.written(posted.mapInArrow(lambda it: _shared(it, percent), "kind int, token long, cell int, role int, f1 long, f2 long, n int, at int, g1 long, g2 long"), "shared")
     own = shared.where("kind = 0").select("token", "cell", "role", "f1", "f2", "n", "at")
     star = shared.where("kind = 1").select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("g1").alias("b1"), F.col("g2").alias("b2")).distinct()
-    links = _verified(star, docs, classes, k, percent, "star")
-    linked = components(links.select(F.struct(F.col("a1").alias("f1"), F.col("a2").alias("f2")).alias("a"), F.struct(F.col("b1").alias("f1"), F.col("b2").alias("f2")).alias("b")))
+    linked = components(_hung(_ends(_verified(star, docs, classes, k, percent, "star"))))
     comp = linked.select(F.col("node.f1"), F.col("node.f2"), F.xxhash64("component.f1", "component.f2").alias("comp"))
     fold = lambda it: (pa.RecordBatch.from_arrays([*(b.column(c) for c in ("f1", "f2", "comp")), pa.array([folded(x) for x in b.column("bits").to_pylist()], pa.binary())], names=["f1", "f2", "comp", "bits"]) for b in it)
     known = classes.select("f1", "f2", "bits").join(comp, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("comp", F.xxhash64("f1", "f2")).alias("comp"), "bits")
@@ -393,19 +390,31 @@ def classes_and_links(documents: DataFrame, k: int = SHINGLE, percent: int = PER
     dealt = dealt.repartition(partitions, "token", "cell").sortWithinPartitions("token", "cell", "role", "n", "f1", "f2")
     crossed = dealt.mapInArrow(lambda it: _crossed(it, percent), "a1 long, a2 long, b1 long, b2 long, need int")
     crossed = crossed.groupBy("a1", "a2", "b1", "b2").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").drop("shared", "need")
-    return rows, classes.drop("bits"), links.unionByName(_verified(crossed, docs, classes, k, percent, "crossed"))
+    edges = linked.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return rows, classes.drop("bits"), edges.unionByName(_ends(_verified(crossed, docs, classes, k, percent, "crossed")))
 
 
-def _groups(links: DataFrame) -> DataFrame:
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.struct(F.col("a1").alias("f1"), F.col("a2").alias("f2")).alias("a"), F.struct(F.col("b1").alias("f1"), F.col("b2").alias("f2")).alias("b"))
+
+
+def _hung(stars: DataFrame) -> DataFrame:
+    """Edges that connect what stars (a class, its centre) do: each class to its least centre, and its other centres to that.
+    A class has no more centres than tokens in its prefix."""
+    own = stars.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("all"))
+    others = own.select(F.explode(F.filter("all", lambda x: x != F.col("least"))).alias("a"), F.col("least").alias("b"))
+    return own.select("a", F.col("least").alias("b")).unionByName(others.distinct())
+
+
+def _groups(edges: DataFrame) -> DataFrame:
     """(f1, f2, component) of the classes that have links."""
-    pairs = links.select(F.struct(F.col("a1").alias("f1"), F.col("a2").alias("f2")).alias("a"), F.struct(F.col("b1").alias("f1"), F.col("b2").alias("f2")).alias("b"))
-    return components(pairs).select(F.col("node.f1"), F.col("node.f2"), "component")
+    return components(edges).select(F.col("node.f1"), F.col("node.f2"), "component")
 
 
 def jaccard_components(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles (size of its set), component_id (smallest doc_id that links reach, its own included)."""
-    rows, classes, links = classes_and_links(documents, k, percent)
-    member = classes.join(_groups(links), ["f1", "f2"], "left").select("f1", "f2", "rep", F.coalesce("component", F.struct("f1", "f2")).alias("component"))
+    rows, classes, edges = classes_and_edges(documents, k, percent)
+    member = classes.join(_groups(edges), ["f1", "f2"], "left").select("f1", "f2", "rep", F.coalesce("component", F.struct("f1", "f2")).alias("component"))
     least = member.groupBy("component").agg(F.min("rep").alias("least"))
     least = member.join(least, "component").select("f1", "f2", "least")
     out = rows.join(least, ["f1", "f2"], "left")
@@ -416,9 +425,9 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """documents with one row of each group of near copies: of the rows that links of k-word shingles reach, the one with
     the smallest doc_id (a null one last; of repeated ids, the first row of the table stays). Empty texts all stay."""
     documents = documents if is_scan(documents) else common.written(documents, "input")
-    rows, _, links = classes_and_links(documents, k, percent)
+    rows, _, edges = classes_and_edges(documents, k, percent)
     best = rows.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "block", "row")).alias("best"))
-    best = best.join(_groups(links), ["f1", "f2"], "left").groupBy(F.coalesce("component", F.struct("f1", "f2")).alias("c")).agg(F.min("best").alias("best"))
+    best = best.join(_groups(edges), ["f1", "f2"], "left").groupBy(F.coalesce("component", F.struct("f1", "f2")).alias("c")).agg(F.min("best").alias("best"))
     path = by_block(best.select("best.block", "best.row").unionByName(rows.where("n = 0").select("block", "row")), "kept")
     names = documents.columns
     docs = keyed(documents, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))

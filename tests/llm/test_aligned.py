@@ -61,7 +61,7 @@ def test_missing_folder_is_an_error(spark, table):
         aligned.file_system("/a/path/without/scheme")
 
 
-def test_shared_folder(spark, monkeypatch):
+def test_shared_folder(spark):
     assert common.qualified(spark, "/some/where") == "file:///some/where"
     assert common.qualified(spark, "file:/some/where") == "file:///some/where"
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -72,10 +72,21 @@ def test_shared_folder(spark, monkeypatch):
         assert common.qualified(spark, "/in/there") == "viewfs://store/in/there"
     finally:
         conf.set("fs.defaultFS", old or "file:///")
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
-    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+
+
+def test_no_folder_of_the_driver_on_a_cluster():
+    class Context:
+        master = "spark://elsewhere:7077"
+        _conf = {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        common.shared_dir(spark)
+        common.shared_dir(Session())
 
 
 def test_word_hashes():
