@@ -38,10 +38,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 # String pools
 
 
-@query("SELECT literal, count(*) AS locations, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS literal FROM documents) GROUP BY literal")
+@query(r"""
+SELECT literal, count(DISTINCT source) AS locations FROM (SELECT source, unnest(string_split(text, chr(10))) AS literal FROM documents) WHERE literal <> '' GROUP BY literal""")
 def string_pool(spark, sf_dir):
-    lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("key"), F.col("doc_id").alias("dex_id"))
-    return lines.groupBy(F.col("key").alias("literal")).agg(F.count("*").alias("locations"), F.min("dex_id").alias("first_doc"))
+    t = _source_images(spark, sf_dir)
+    own = multidex.index(multidex.string_entries(t)).where(~F.col("key").isin("LPool;", "Ljava/lang/Object;", "V", "use"))
+    return own.select(F.col("key").alias("literal"), F.size("entries").cast("long").alias("locations"))
 
 
 @query("""
@@ -69,6 +71,20 @@ def secret_classify_injected(spark, sf_dir):
     return d.withColumn("severity", fn.secret_severity(F.col("label"), F.col("literal")))
 
 
+@query(f"""
+WITH l AS (
+  SELECT c_custkey, CASE WHEN trim(literal) = '' OR length(literal) < 8 AND literal NOT LIKE '%token=%' THEN NULL WHEN regexp_matches(literal, 'AKIA[0-9A-Z]{{16}}') THEN 'aws_access_key'
+    WHEN regexp_matches(literal, 'BEGIN [A-Z ]+PRIVATE KEY') THEN 'private_key' WHEN regexp_matches(literal, 'xox[baprs]-[A-Za-z0-9-]{{10,}}') THEN 'slack_token'
+    WHEN regexp_matches(literal, '(?i)password\\s*[:=]') THEN 'password_assignment' WHEN literal LIKE '%token=%' THEN 'keyword' END AS label
+  FROM (SELECT c_custkey, {_INJECTED} AS literal FROM customer)),
+u AS (SELECT l.*, e.user_id AS m FROM l LEFT JOIN events e ON e.event_id % 200 = l.c_custkey WHERE label IS NOT NULL)
+SELECT m AS method_idx, label, min(c_custkey) AS string_idx, CASE WHEN label = 'keyword' THEN 'Medium' ELSE 'High' END AS severity FROM u GROUP BY m, label""")
+def hardcoded_secrets(spark, sf_dir):
+    strings = read(spark, sf_dir, "customer").select(F.lit(0).cast("long").alias("dex_id"), F.col("c_custkey").alias("string_idx"), F.expr(_INJECTED.replace("VARCHAR", "STRING")).alias("value"))
+    f = pattern.hardcoded_secrets(strings, _event_uses(spark, sf_dir), _user_methods(spark, sf_dir))
+    return f.select(F.col("location.method_idx").alias("method_idx"), F.get_json_object("extra", "$.pattern").alias("label"), F.col("seq1").alias("string_idx"), "severity")
+
+
 @query("""SELECT dex_id, method_idx, label, string_idx, pc FROM (SELECT l_suppkey AS dex_id, l_partkey % 50 AS method_idx, l_returnflag AS label, l_orderkey AS string_idx, CAST(l_linenumber AS BIGINT) AS pc FROM lineitem)
 QUALIFY row_number() OVER (PARTITION BY dex_id, method_idx, label ORDER BY string_idx, pc) = 1""")
 def secret_dedup_first(spark, sf_dir):
@@ -130,9 +146,10 @@ def weak_crypto_callers(spark, sf_dir):
 
 
 @query(r"""
-SELECT conv_id, turn, CASE WHEN length(t) <= 64 THEN t ELSE concat(left(t, 64), '…') END AS preview FROM (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE regexp_full_match(text, '[\x00-\x7F]*', 's'))""")
+SELECT conv_id, turn, CASE WHEN octet_length(encode(t)) <= 64 THEN t ELSE concat(left(t, list_max(list_filter(generate_series(1, 64), lambda n: octet_length(encode(left(t, n))) <= 64))), '…') END AS preview
+FROM (SELECT conv_id, turn, regexp_replace(text, '^[\t\n\x0B\f\r\x{85}\p{Z}]+|[\t\n\x0B\f\r\x{85}\p{Z}]+$', '', 'g') AS t FROM conversations)""")
 def preview_literal(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").where(F.octet_length("text") == F.length("text")).select("conv_id", "turn", fn.preview_literal(F.col("text")).alias("preview"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", fn.preview_literal(F.col("text")).alias("preview"))
 
 
 @query("""SELECT l_orderkey AS proto_idx, concat('(', string_agg(concat('L', l_returnflag, l_linestatus, ';'), '' ORDER BY l_linenumber, l_returnflag, l_linestatus), ')V') AS signature FROM lineitem GROUP BY l_orderkey""")
@@ -150,16 +167,25 @@ def gui_class_filter(spark, sf_dir):
 # Facts of programs
 
 
-@query("SELECT c_custkey AS class_idx, count(o_orderkey) AS method_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+_NATION = """n AS (SELECT c_nationkey AS nation, count(*) AS customers, count(DISTINCT c_mktsegment) AS segments, count(DISTINCT c_name) AS names FROM customer GROUP BY c_nationkey)"""
+
+
+@query(f"WITH {_NATION} SELECT nation, names + segments + 6 AS string_count, segments + 4 AS type_count, CAST(1 AS BIGINT) AS proto_count, CAST(0 AS BIGINT) AS field_count, customers + segments AS method_count, CAST(1 AS BIGINT) AS class_count FROM n")
 def overview_counts(spark, sf_dir):
-    n = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    c = read(spark, sf_dir, "customer")
-    return c.join(n, c["c_custkey"] == n["o_custkey"], "left").select(F.col("c_custkey").alias("class_idx"), F.coalesce("n", F.lit(0)).alias("method_count"))
+    t = _nation_images(spark, sf_dir)
+    return resolve.overview(t).select(F.col("path").cast("int").alias("nation"), "string_count", "type_count", "proto_count", "field_count", "method_count", "class_count")
 
 
-@query("SELECT c_custkey AS class_idx, count(o_orderkey) AS method_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey ORDER BY 2 DESC, 1 LIMIT 10")
+@query(f"WITH {_NATION} SELECT concat('LNation', nation, ';') AS descriptor, customers AS method_count FROM n")
 def top_classes(spark, sf_dir):
-    return overview_counts(spark, sf_dir).orderBy(F.desc("method_count"), "class_idx").limit(10)
+    return resolve.top_classes(_nation_images(spark, sf_dir), 30).select("descriptor", "method_count")
+
+
+@query(f"WITH {_NATION} SELECT nation, customers + segments AS method_count, names + segments + 6 AS string_count, 3 * customers AS instruction_count, CAST(0 AS BIGINT) AS finding_count FROM n")
+def analysis_statistics(spark, sf_dir):
+    t = _nation_images(spark, sf_dir)
+    stats = engine.analyze(t, engine.AnalysisConfig(enable_pattern=False, enable_structural=False, enable_taint=False)).stats
+    return _named(t, stats).select("nation", "method_count", "string_count", "instruction_count", "finding_count")
 
 
 def _calls(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -331,22 +357,31 @@ def taint_reach(spark, sf_dir):
 # Several images, findings
 
 
-def _types(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    own = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_nationkey").cast("long").alias("dex_id"), F.col("c_custkey").alias("idx"))
-    return own, own.where("idx % 3 = 0")
-
-
-@query("SELECT key, count(*) AS entries FROM (SELECT c_mktsegment AS key, c_nationkey FROM customer UNION ALL SELECT c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY key")
+@query("""
+SELECT concat('L', c_mktsegment, ';') AS key, count(DISTINCT c_nationkey) AS entries FROM customer GROUP BY key UNION ALL SELECT DISTINCT concat('LNation', c_nationkey, ';'), 2 FROM customer
+UNION ALL SELECT k, (SELECT count(DISTINCT c_nationkey) FROM customer) FROM (SELECT unnest(['I', 'V', 'Ljava/lang/Object;']) AS k)""")
 def multidex_types_compat(spark, sf_dir):
-    own, defined = _types(spark, sf_dir)
-    return multidex.index(own.unionByName(defined)).select("key", F.size("entries").cast("long").alias("entries"))
+    return multidex.index(multidex.type_entries(_nation_images(spark, sf_dir), compat=True)).select("key", F.size("entries").cast("long").alias("entries"))
 
 
-@query("SELECT c_mktsegment AS key, count(*) AS entries, min(c_nationkey * 1000000 + c_custkey) AS first FROM customer GROUP BY key")
+@query("""
+SELECT concat('L', c_mktsegment, ';') AS key, count(DISTINCT c_nationkey) AS entries FROM customer GROUP BY key UNION ALL SELECT DISTINCT concat('LNation', c_nationkey, ';'), 1 FROM customer
+UNION ALL SELECT k, (SELECT count(DISTINCT c_nationkey) FROM customer) FROM (SELECT unnest(['I', 'V', 'Ljava/lang/Object;']) AS k)""")
 def multidex_types_dedup(spark, sf_dir):
-    own, defined = _types(spark, sf_dir)
-    first = F.col("entries")[0]
-    return multidex.index(own.unionByName(defined).distinct()).select("key", F.size("entries").cast("long").alias("entries"), (first["dex_id"] * 1_000_000 + first["idx"]).alias("first"))
+    return multidex.index(multidex.type_entries(_nation_images(spark, sf_dir))).select("key", F.size("entries").cast("long").alias("entries"))
+
+
+@query("""
+SELECT c_nationkey AS nation, 'method' AS kind FROM customer WHERE c_custkey = 7 UNION ALL SELECT DISTINCT c_nationkey, 'string' FROM customer
+UNION ALL SELECT DISTINCT c_nationkey, 'type' FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT DISTINCT c_nationkey, 'class' FROM customer WHERE c_nationkey = 7""")
+def multidex_lookups(spark, sf_dir):
+    """Where a class, a type, a string and a method are, over all images; the method is customer 7's."""
+    t = _nation_images(spark, sf_dir)
+    c = read(spark, sf_dir, "customer").where("c_custkey = 7").select(F.concat(F.lit("LNation"), "c_nationkey", F.lit(";->"), "c_name", F.lit("(I)V")).alias("key"))
+    found = multidex.method_entries(t).join(c, "key").select("dex_id", F.lit("method").alias("kind"))
+    for kind, entries, key in (("string", multidex.string_entries(t), "visit"), ("type", multidex.type_entries(t), "LBUILDING;"), ("class", multidex.class_entries(t), "LNation7;")):
+        found = found.unionByName(multidex.find(entries, key).select("dex_id", F.lit(kind).alias("kind")))
+    return _named(t, found).select("nation", "kind")
 
 
 def _findings(spark, sf_dir) -> DataFrame:
@@ -419,8 +454,8 @@ def dex_roundtrip_instructions(spark, sf_dir):
     return _named(t, t.instructions.join(m, ["dex_id", "method_idx"])).select("nation", "method", F.col("pc").cast("int").alias("pc"), "name", "literal")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image for each source of documents, whose strings are their lines, written, scanned and analysed."""
+def _source_images(spark: SparkSession, sf_dir: str) -> DexTables:
+    """An image for each source of documents, whose strings are their lines."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -431,7 +466,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = read(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     files = d.groupBy("source").agg(F.sort_array(F.collect_set("line")).alias("lines")).mapInArrow(write, "path string, content binary")
-    return engine.analyze(DexTables.from_column(files, persist=False)).findings.select("dex_id", "id", "kind", "severity", "location.method_name", "message", "extra")
+    return DexTables.from_column(files, persist=False)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as images, written, scanned and analysed."""
+    return engine.analyze(_source_images(spark, sf_dir)).findings.select("dex_id", "id", "kind", "severity", "location.method_name", "message", "extra")
 
 
 @query("SELECT DISTINCT l_orderkey, l_orderkey AS value, CASE WHEN l_orderkey < 128 THEN 1 WHEN l_orderkey < 16384 THEN 2 WHEN l_orderkey < 2097152 THEN 3 ELSE 4 END AS size FROM lineitem")

@@ -29,6 +29,13 @@ def test_nothing_else_imports_them():
 def test_an_error_inside_them_is_not_swallowed(tmp_path):
     shutil.copytree(REPO / "quarry", tmp_path / "quarry", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
-    (tmp_path / "corpus_pipeline.py").write_text("import nowhere_at_all\n")
+    (tmp_path / "corpus_pipeline.py").write_text("raise ValueError('nowhere_at_all')\n")
     done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode and "nowhere_at_all" in done.stderr
+
+
+def test_without_a_package_that_only_they_need(tmp_path):
+    shutil.copytree(REPO / "quarry", tmp_path / "quarry", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import nowhere_at_all\n")
+    assert "string_pool" in names(tmp_path)
