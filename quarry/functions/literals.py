@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,12 +25,22 @@ FLAGS = {"PUBLIC": 0x1, "PRIVATE": 0x2, "PROTECTED": 0x4, "STATIC": 0x8, "FINAL"
 COMPAT_FLAGS = FLAGS | {"INTERFACE": 0x20000, "ANNOTATION": 0x20000, "ENUM": 0x40000, "DECLARED_SYNCHRONIZED": 0x2000}
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shannon_entropy(value: Column) -> Column:
-    """Base-2 entropy of a string's UTF-8 bytes; 0 for an empty one."""
-    found = F.regexp_extract_all(F.hex(F.encode(value, "UTF-8")), F.lit(".."), F.lit(0))
-    total = F.size(found)
-    shares = F.transform(F.array_sort(F.array_distinct(found)), lambda b: F.size(F.filter(found, lambda x: x == b)) / total)
-    return F.when(total > 0, F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(F.when(value.isNotNull(), 0.0))
+    """Base-2 entropy of a string's UTF-8 bytes; 0 for an empty one, null for null. One sort and one fold over its bytes."""
+    found = F.array_sort(F.regexp_extract_all(F.hex(F.encode(value, "UTF-8")), F.lit(".."), F.lit(0)))
+
+    def entropy(s: Column) -> Column:
+        total = F.size(s)
+        ends = F.filter(F.sequence(F.lit(1), total), lambda i: (i == total) | (F.get(s, i - 1) != F.get(s, i)))  # of runs of one byte
+        shares = _bound(ends, lambda e: F.transform(e, lambda end, i: (end - F.coalesce(F.get(e, i - 1), F.lit(0))) / total))
+        return F.when(total > 0, F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
+
+    return F.when(value.isNotNull(), F.coalesce(_bound(found, entropy), F.lit(0.0)))
 
 
 def has_keyword(value: Column) -> Column:

@@ -47,11 +47,10 @@ def string_pool(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS literal FROM documents), a AS (SELECT literal FROM t WHERE regexp_full_match(literal, '[!-~]{8,}')),
-c AS (SELECT literal, ch, count(*) AS n FROM (SELECT literal, unnest(string_split(literal, '')) AS ch FROM a) GROUP BY literal, ch)
-SELECT c.literal, round(-sum(n / length(c.literal) * log2(n / length(c.literal))), 6) + 0.0 AS entropy FROM c GROUP BY c.literal""")
+WITH t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS literal FROM documents)
+SELECT literal, round(list_aggregate(regexp_extract_all(hex(encode(literal)), '..'), 'entropy'), 6) + 0.0 AS entropy FROM t WHERE strlen(literal) >= 8""")
 def secret_entropy_tokens(spark, sf_dir):
-    t = read(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("literal")).where(F.col("literal").rlike("^[!-~]{8,}$")).distinct()
+    t = read(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("literal")).where(F.octet_length("literal") >= fn.literals.MIN_LENGTH).distinct()
     return t.select("literal", (F.round(fn.shannon_entropy(F.col("literal")), 6) + 0.0).alias("entropy"))
 
 
