@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -62,6 +63,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect what ended jobs left: their plans, and so their shuffle files on the executors, which Spark
+    removes only once the driver has collected the plans. Else both grow over an operator of many jobs."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(table: DataFrame, width: Column | None = None) -> bool:
     """Whether a written table may be broadcast: rows and, where given, the bytes that `width` sums up are within bounds."""
     size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(width if width is not None else F.lit(0)), F.lit(0)).alias("bytes")).first()

@@ -353,7 +353,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     path = by_block(classes.join(ends, ["f1", "f2"], "left_semi").select("key.block", "key.row"), f"wanted-{name}")
     sets = common.written(docs.select("block", "row", "text").mapInArrow(lambda it: _sets(it, path, k), "f1 long, f2 long, tokens binary"), f"tokens-{name}")
     whole = near.join(side(sets, "a", x="tokens"), ["a1", "a2"]).join(side(sets, "b", y="tokens"), ["b1", "b2"])
-    return common.written(whole.select("a1", "a2", "b1", "b2", "x", "y").mapInArrow(lambda it: _linked(it, percent), PAIRS), f"links-{name}")
+    links = common.written(whole.select("a1", "a2", "b1", "b2", "x", "y").mapInArrow(lambda it: _linked(it, percent), PAIRS), f"links-{name}")
+    common.let_go(docs.sparkSession)
+    return links
 
 
 PAIRS = "a1 long, a2 long, b1 long, b2 long"
@@ -379,6 +381,7 @@ def classes_and_edges(documents: DataFrame, k: int = SHINGLE, percent: int = PER
     posted = docs.select("block", "row", "text").mapInArrow(lambda it: _postings(it, k, percent, frequency, path), "token long, f1 long, f2 long, n int, at int")
     posted = posted.repartition(partitions, "token").sortWithinPartitions("token", "n", "f1", "f2")
     shared = common.written(posted.mapInArrow(lambda it: _shared(it, percent), "kind int, token long, cell int, role int, f1 long, f2 long, n int, at int, g1 long, g2 long"), "shared")
+    common.let_go(spark)
     own = shared.where("kind = 0").select("token", "cell", "role", "f1", "f2", "n", "at")
     star = shared.where("kind = 1").select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("g1").alias("b1"), F.col("g2").alias("b2")).distinct()
     linked = components(_hung(_ends(_verified(star, docs, classes, k, percent, "star"))))

@@ -164,3 +164,35 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 45), (45, 50), (60, 60)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {40: 40, 45: 40, 50: 40}
+
+
+def test_components_of_any_graph(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400, i) for i in range(401, 440)] + [(500 - i, 499 - i) for i in range(40)]
+    least = {n: n for p in pairs for n in p if p[0] != p[1]}
+    while any(least[a] != least[b] for a, b in pairs if a != b):
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    struct = [((a, -a), (b, -b)) for a, b in pairs]
+    links = spark.createDataFrame(struct, "a struct<x: long, y: long>, b struct<x: long, y: long>")
+    assert {r["node"]["x"]: r["component"]["x"] for r in components(links).collect()} == least
+
+
+def test_components_of_stars_take_few_jobs(spark):
+    """What the driver holds follows the jobs; stars need no round."""
+    context = spark.sparkContext
+
+    def jobs(links):
+        context.setJobGroup(name := f"components {len(links)}", name)
+        try:
+            got = components(spark.createDataFrame(links, "a long, b long"))
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        n = len(context.statusTracker().getJobIdsForGroup(name))
+        return n, {r["node"]: r["component"] for r in got.collect()}
+
+    n, got = jobs([(i, i % 3) for i in range(3, 90)])
+    assert got == {i: i % 3 for i in range(90)} and n <= 5
+    _, got = jobs([(i, i % 3) for i in range(3, 90)] + [(7, 0)])
+    assert got == {i: 0 if i % 3 < 2 else 2 for i in range(90)}
